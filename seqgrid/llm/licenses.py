@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
 A text is cut into blocks (lines, long ones in pieces). A block is a candidate if it shares a run
-of SHARED words with a template; it is compressed on its own and with each such template as raw
+of SHARED words, one of them of LONG_WORD letters, with a template; it is compressed on its own and with each such template as raw
 zstandard dictionary, and templates are ranked by the bytes saved. The winner is confirmed by the
 exact differences in wording: the words to insert into and delete from the template's closest
 stretch. A block that keeps MIN_MATCH of the words of that stretch is reported.
@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,7 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 SHARED = 3
+LONG_WORD = 7
 MIN_MATCH = 0.8
 MIN_SAVED = 0.2
 PIECE = 2000
@@ -55,17 +57,21 @@ def _scan(templates: dict[str, str]):
         for n in names:
             for r in _runs(words[n]):
                 owners.setdefault(r, []).append(n)
-        # A block without a template's rarest hint can't share a run: one pass of a fixed pattern.
-        hint = re.compile("|".join(sorted({re.escape(r[0]) + r"\W+" + re.escape(r[1]) for r in owners})), re.IGNORECASE)
+        # A run counts if it has a long word; a text without any of those shares none.
+        owners = {r: n for r, n in owners.items() if max(map(len, r)) >= LONG_WORD}
+        hints = ahocorasick.Automaton()
+        for r in owners:
+            hints.add_word(max(r, key=len), True)
+        hints.make_automaton()
         alone = zstandard.ZstdCompressor(level=3)
         with_ = {n: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(templates[n].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n in names}
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if not text or not hint.search(text):
+                if not text or next(hints.iter(text.lower()), None) is None:
                     continue
                 for at, block in _blocks(text):
-                    if not hint.search(block):
+                    if next(hints.iter(block.lower()), None) is None:
                         continue
                     mine = _words(block)
                     found = sorted({n for r in _runs(mine) for n in owners.get(r, ())})

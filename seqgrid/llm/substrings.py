@@ -99,7 +99,7 @@ def _suffix_ranks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     while True:
         key = rank * (n + len(texts) + 256)
         key[:-step] += rank[step:] + 1
-        sa = np.argsort(key, kind="stable")
+        sa = np.argsort(key)
         new = np.empty(n, np.int64)
         new[sa] = np.cumsum(np.concatenate([[0], (key[sa[1:]] != key[sa[:-1]])]))
         rank, step = new, step * 2
@@ -121,7 +121,7 @@ def _agreeing(sa: np.ndarray, rank: np.ndarray, sym: np.ndarray, length: int) ->
         owner = np.repeat(np.arange(len(lo)), size)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
         # Within an interval, equal preceding symbols lead to neighbouring places.
-        order = np.lexsort((lf[at], owner))
+        order = np.argsort(owner * n + lf[at])
         at, owner = at[order], owner[order]
         cut = np.concatenate([[True], (owner[1:] != owner[:-1]) | (bwt[at[1:]] != bwt[at[:-1]])])
         first = np.flatnonzero(cut)

@@ -1,9 +1,11 @@
 """Motif search on ungapped sequences, without user code in the row path."""
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqgrid.functions.alphabet import ungap
+from seqgrid.functions.alphabet import ALPHABET, ungap
 
 
 def find_motifs(seqs: DataFrame, regex: str) -> DataFrame:
@@ -22,3 +24,47 @@ def find_motifs(seqs: DataFrame, regex: str) -> DataFrame:
     found = F.filter(F.aggregate(parts, zero, step)["m"], lambda m: m["e"] > m["s"])
     df = seqs.select("aln_id", "row_ix", F.posexplode_outer(found).alias("match_ix", "m")).where("m is not null")
     return df.select("aln_id", "row_ix", "match_ix", F.col("m.s").alias("u_start"), F.col("m.e").alias("u_end"))
+
+
+def count_motifs(seqs: DataFrame, patterns: list[str]) -> DataFrame:
+    """(row_ix, pattern, matches) of each of a list of patterns, zeros included."""
+    each = F.explode(F.array(*[F.lit(p) for p in patterns])).alias("pattern")
+    return seqs.select("row_ix", ungap(F.col("aligned")).alias("u"), each).select("row_ix", "pattern", F.regexp_count("u", F.col("pattern")).alias("matches"))
+
+
+def compile_pattern(source: str) -> str:
+    """A regular expression of a motif: letters, X, (A,B), ~A, {m,n}, and < or > at the ends.
+
+    X is any residue but a stop, B is B, D or N, Z is Z, E or Q. ValueError if a pattern is malformed.
+    """
+    text = re.sub(r"\s", "", source).upper()
+    letter = "[ACDEFGHIKLMNPQRSTVWYBZXUO*]"
+    token = re.compile(rf"(?P<first>^<)|(?P<last>>$)|(?P<unit>~?(?:{letter}|\({letter}+(?:,{letter}+)*\)))(?P<times>\{{\d+(?:,\d*)?\}})?")
+    wide = {"X": ALPHABET[1:-1], "B": "BDN", "Z": "ZEQ"}
+    members = lambda a: wide.get(a, a)
+    as_set = lambda m: re.escape(m) if len(m) == 1 else f"[{m}]"
+    at, out = 0, []
+    while at < len(text):
+        m = token.match(text, at)
+        if not m:
+            raise ValueError(f"bad pattern at {at}: {source!r}")
+        at = m.end()
+        if m["first"] or m["last"]:
+            out.append("^" if m["first"] else "$")
+            continue
+        words = m["unit"].strip("~()").split(",")
+        if m["unit"].startswith("~"):
+            if any(len(w) > 1 for w in words):
+                raise ValueError("only single residues can be excluded")
+            out.append(f"[^{''.join(members(w) for w in words)}]")
+        else:
+            each = ["".join(as_set(members(a)) for a in w) for w in words]
+            out.append(each[0] if len(each) == 1 and len(words[0]) == 1 else f"(?:{'|'.join(each)})")
+        if m["times"]:
+            low, _, high = m["times"].strip("{}").partition(",")
+            if high and int(high) < int(low):
+                raise ValueError("bad range")
+            out.append(m["times"])
+    if not any(o not in "^$" for o in out):
+        raise ValueError("empty pattern")
+    return "".join(out)

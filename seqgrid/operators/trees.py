@@ -1,6 +1,7 @@
 """Trees as node tables (tree_id, node_id, parent_id, name, length): closure, metrics."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -35,3 +36,45 @@ def node_info(nodes: DataFrame) -> DataFrame:
     depth = up.groupBy("node_id").agg(F.max("dist").alias("depth"))
     tips = up.join(leaves, "node_id").groupBy(F.col("anc").alias("node_id")).agg(F.count("*").alias("tips"))
     return depth.join(tips, "node_id")
+
+
+def tree_stats(nodes: DataFrame) -> DataFrame:
+    """One row: leaves, total and mean branch length without the root's, height."""
+    branch = F.when(F.col("parent_id").isNotNull(), F.col("length"))
+    size = nodes.agg(F.sum(branch).alias("total"), F.avg(branch).alias("mean_branch"))
+    inner = nodes.select(F.col("parent_id").alias("node_id")).where("node_id is not null").distinct()
+    leaves = nodes.join(inner, "node_id", "left_anti").agg(F.count("*").alias("leaves"))
+    height = node_info(nodes).agg(F.max("depth").alias("height"))
+    return size.join(leaves, F.lit(True)).join(height, F.lit(True))
+
+
+def patristic(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, dist) of pairs of nodes: over common ancestors the shortest way; null for unknown nodes."""
+    up = closure(nodes)
+    a = up.select(F.col("node_id").alias("a"), "anc", F.col("dist").alias("da"))
+    b = up.select(F.col("node_id").alias("b"), "anc", F.col("dist").alias("db"))
+    way = pairs.join(a, "a").join(b, ["b", "anc"]).groupBy("a", "b").agg(F.min(F.col("da") + F.col("db")).alias("dist"))
+    return pairs.join(way, ["a", "b"], "left")
+
+
+def ladderize(nodes: DataFrame, largest_first: bool = True) -> DataFrame:
+    """(node_id, parent_id, child_ix): children by their tips, then by node_id."""
+    tips = F.col("tips").desc() if largest_first else F.col("tips")
+    order = W.partitionBy("parent_id").orderBy(tips, "node_id")
+    return nodes.join(node_info(nodes), "node_id").where("parent_id is not null").select("node_id", "parent_id", (F.row_number().over(order) - 1).alias("child_ix"))
+
+
+def swapped(children: DataFrame, node_id: str) -> DataFrame:
+    """Children (node_id, parent_id, child_ix) with the order under one node reversed."""
+    last = F.max("child_ix").over(W.partitionBy("parent_id"))
+    return children.withColumn("child_ix", F.when(F.col("parent_id") == node_id, last - F.col("child_ix")).otherwise(F.col("child_ix")))
+
+
+def reroot(nodes: DataFrame, node_id: str) -> DataFrame:
+    """(node_id, parent_id, length) with the edges from a node to the root turned; lengths stay on edges."""
+    path = closure(nodes).where(F.col("node_id") == node_id).select(F.col("anc").alias("node_id"))
+    on_path = nodes.join(path, "node_id")
+    turned = on_path.where("parent_id is not null").select(F.col("parent_id").alias("node_id"), F.col("node_id").alias("parent_id"), "length")
+    top = nodes.where(F.col("node_id") == node_id).select("node_id", F.lit(None).cast("string").alias("parent_id"), F.lit(0.0).alias("length"))
+    rest = nodes.join(path, "node_id", "left_anti").select("node_id", "parent_id", "length")
+    return rest.unionByName(turned).unionByName(top)

@@ -7,6 +7,9 @@ Fingerprints of both sides are joined, and each meeting is extended to the windo
 which are compared word for word. An item of fewer than WINDOW words is one window; for the few
 lengths of such items every word run of that length is a fingerprint.
 
+Texts are cut into overlapping pieces first, which bounds a row; the words around a meeting are taken
+from the piece where it is found, so that texts are never shuffled.
+
 Arrays are exploded with explode_outer and a filter behind it: for explode, the optimizer infers a
 filter on the array's size and pushes it below, where every step of the array is computed again.
 
@@ -25,6 +28,8 @@ from seqgrid.llm.common import LOWER, UPPER, ascii_lower, materialize, shifted,
 
 WINDOW = 10
 K = 5
+#: Words of a piece of text; longer texts are worked on piece by piece.
+CHUNK = 256
 #: Everything in ASCII but letters and digits, upper case left out as text is lower-cased first.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fingerprint rows of the benchmark up to which they are broadcast (about 150 bytes each).
@@ -96,6 +101,17 @@ def _row_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, k, b, w): pieces of CHUNK words from word b on, and the WINDOW - 1 words behind them.
+
+    Every window lies whole in a piece, and a row stays short whatever the text's length.
+    """
+    words = docs.select("doc_id", _row_key(F.col("text")).alias("k"), item_words(F.col("text")).alias("_w"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - 1, F.lit(0)), F.lit(CHUNK))
+    cut = F.transform(starts, lambda b: F.struct(b.alias("b"), F.slice("_w", b + 1, CHUNK + WINDOW - 1).alias("w")))
+    return words.select("doc_id", "k", F.explode_outer(cut).alias("x")).select("doc_id", "k", "x.b", "x.w")
+
+
 def hits(docs: DataFrame, fps: DataFrame) -> DataFrame:
     """(doc_id, k, item_id, at, n): windows of items at word `at` of a document.
 
@@ -103,30 +119,28 @@ def hits(docs: DataFrame, fps: DataFrame) -> DataFrame:
     """
     sizes = fps.groupBy("n").count().collect()  # at most WINDOW rows
     short = sorted(r["n"] for r in sizes if r["n"] < WINDOW)
-    keyed = docs.select("doc_id", _row_key(F.col("text")).alias("k"), "text")
-    df = _fingerprints(keyed.select("doc_id", "k", item_words(F.col("text")).alias("w")), short)
-    df = df.select("doc_id", "k", F.explode_outer("f").alias("f")).where(
-        F.col("f").isNotNull()
-    ).select(
+    pieces = chunks(docs)
+    f = F.explode_outer("f").alias("f")
+    df = _fingerprints(pieces, short).select("doc_id", "k", "b", "w", f).where(F.col("f").isNotNull())
+    df = df.select(
         "doc_id",
         "k",
+        "b",
+        "w",
         F.col("f").bitwiseAND(F.lit(_POS)).cast("int").alias("p"),
         F.col("f").bitwiseAND(F.lit(~_POS)).alias("fp"),
     )
     small = sum(r["count"] for r in sizes) <= BROADCAST_ROWS
     marks = fps.select("fp", "q", "ik", "n")
-    met = df.join(F.broadcast(marks) if small else marks, "fp")
-    # Few documents meet the benchmark: their words are taken from the text in a second scan.
-    by_doc = met.groupBy(F.col("doc_id").alias("_id"), F.col("k").alias("_k")).agg(
-        F.collect_list(F.struct("p", "q", "ik", "n")).alias("m")
-    )
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k"))
-    once = keyed.join(materialize(by_doc, "meetings"), on)
-    once = once.select("doc_id", "k", "m", item_words(F.col("text")).alias("w"))
-    # Words WINDOW - 1 before the place (fewer at the start of the text) to WINDOW after it.
-    near = lambda m: F.slice("w", F.greatest(m["p"] - WINDOW + 1, F.lit(0)) + 1, F.least(m["p"], F.lit(WINDOW - 1)) + WINDOW)
-    put = lambda m: F.struct(m["p"].alias("p"), m["q"].alias("q"), m["ik"].alias("ik"), m["n"].alias("n"), near(m).alias("near"))
-    rows = once.select("doc_id", "k", F.explode_outer(F.transform("m", put)).alias("m")).select("doc_id", "k", "m.*")
+    if small:  # nothing is shuffled before the words around a meeting are cut out
+        met = df.join(F.broadcast(marks), "fp")
+    else:
+        met = df.drop("w").join(marks, "fp").withColumnsRenamed({"doc_id": "_id", "k": "_k", "b": "_b"})
+        on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k")) & (F.col("b") == F.col("_b"))
+        met = pieces.dropDuplicates(["doc_id", "k", "b"]).join(met, on).drop("_id", "_k", "_b")
+    # Words WINDOW - 1 before the place (fewer at the start of the piece) to WINDOW after it.
+    near = F.slice("w", F.greatest(F.col("p") - WINDOW + 1, F.lit(0)) + 1, F.least(F.col("p"), F.lit(WINDOW - 1)) + WINDOW)
+    rows = met.select("doc_id", "k", "b", "p", "q", "ik", "n", near.alias("near"))
     texts = fps.select("ik", "item_id", "iw").dropDuplicates(["ik"])
     rows = rows.join(F.broadcast(texts) if small else texts, "ik")
     # The window starts at item word s and at word p - q + s of the document.
@@ -137,7 +151,7 @@ def hits(docs: DataFrame, fps: DataFrame) -> DataFrame:
     same = lambda s: F.slice("near", from_ + s + 1, F.col("n")) == F.slice("iw", s + 1, F.col("n"))
     starts = F.when(lo <= hi, F.filter(F.sequence(lo, F.greatest(lo, hi)), same))
     return (
-        rows.select("doc_id", "k", "item_id", "n", (F.col("p") - F.col("q")).alias("d"), F.explode_outer(starts).alias("s"))
+        rows.select("doc_id", "k", "item_id", "n", (F.col("b") + F.col("p") - F.col("q")).alias("d"), F.explode_outer(starts).alias("s"))
         .where(F.col("s").isNotNull())
         .select("doc_id", "k", "item_id", (F.col("d") + F.col("s")).alias("at"), "n")
         .distinct()

@@ -78,3 +78,30 @@ def reroot(nodes: DataFrame, node_id: str) -> DataFrame:
     top = nodes.where(F.col("node_id") == node_id).select("node_id", F.lit(None).cast("string").alias("parent_id"), F.lit(0.0).alias("length"))
     rest = nodes.join(path, "node_id", "left_anti").select("node_id", "parent_id", "length")
     return rest.unionByName(turned).unionByName(top)
+
+
+def leaf_ranks(nodes: DataFrame) -> DataFrame:
+    """(node_id, leaf_rank): leaves in the tree's order, children by node_id.
+
+    A leaf follows the tips of all earlier siblings on its way to the root, so that no order over all
+    leaves is needed.
+    """
+    info = nodes.join(node_info(nodes).select("node_id", "tips"), "node_id")
+    earlier = W.partitionBy("parent_id").orderBy("node_id").rowsBetween(W.unboundedPreceding, -1)
+    before = info.select(F.col("node_id").alias("anc"), F.coalesce(F.sum("tips").over(earlier), F.lit(0)).alias("before"))
+    leaves = nodes.join(nodes.select(F.col("parent_id").alias("p")), F.col("node_id") == F.col("p"), "left_anti").select("node_id")
+    return closure(nodes).join(leaves, "node_id").join(before, "anc").groupBy("node_id").agg(F.sum("before").alias("leaf_rank"))
+
+
+def paths(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, node_id): nodes from a to b through their last common ancestor, all three included."""
+    up = closure(nodes)
+    side = lambda s: up.select(F.col("node_id").alias(s), "anc", F.col("dist").alias(f"d{s}"))
+    top = pairs.join(side("a"), "a").join(side("b"), ["b", "anc"]).groupBy("a", "b").agg(F.min("da").alias("ta"), F.min("db").alias("tb"))
+    legs = top.join(side("a"), "a").where("da <= ta").select("a", "b", "anc").unionByName(top.join(side("b"), "b").where("db <= tb").select("a", "b", "anc"))
+    return legs.distinct().withColumnRenamed("anc", "node_id")
+
+
+def supported(nodes: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Nodes with `strong`: whether their support reaches the threshold, held within 0 and 1."""
+    return nodes.withColumn("strong", F.col("support") >= min(max(threshold, 0.0), 1.0))

@@ -1,12 +1,14 @@
 """License scans by conditional compression.
 
 A text is cut into blocks (lines, long ones in pieces). A block is a candidate if it shares a run
-of SHARED words, one of them of LONG_WORD letters, with a template; it is compressed on its own and with each such template as raw
-zstandard dictionary, and templates are ranked by the bytes saved. The winner is confirmed by the
-exact differences in wording: the words to insert into and delete from the template's closest
-stretch. A block that keeps MIN_MATCH of the words of that stretch is reported.
-
-Nulls, ties and edges: null or empty text has no blocks and no rows; equal savings go to the
+of SHARED words, one of them of LONG_WORD letters, with a template; the block, and windows of the
+template's length around the shared runs, are compressed on their own and with each such template as
+raw zstandard dictionary. Each is confirmed by the exact differences in wording: the words to insert
+into and delete from the template's closest stretch. One that keeps MIN_MATCH of the words of that
+stretch is reported; of those whose stretches overlap, the one that saves most bytes.
+
+Nulls, ties and edges: null or empty text has no blocks and no rows; a line with two notices has two
+rows; characters that lower-casing lengthens leave a block without windows; equal savings go to the
 template that comes first by name; repeated rows are reported each; an empty table gives an empty
 result; extra columns are ignored.
 """
@@ -77,17 +79,22 @@ def _scan(templates: dict[str, str]):
                     found = sorted({n for r in _runs(mine) for n in owners.get(r, ())})
                     if not found:
                         continue
-                    raw = block.encode("utf-8", "surrogatepass")
-                    size = len(alone.compress(raw))
-                    saved = [(len(with_[n].compress(raw)) - size, n) for n in found]
-                    gain, best = min(saved)
-                    diff = SequenceMatcher(None, words[best], mine, autojunk=False).get_matching_blocks()
-                    diff = [m for m in diff if m.size]
-                    common = sum(m.size for m in diff)
-                    span = diff[-1].a + diff[-1].size - diff[0].a  # the template's stretch
-                    lo, hi = diff[0].b, diff[-1].b + diff[-1].size
-                    if -gain >= MIN_SAVED * size and common >= MIN_MATCH * max(span, hi - lo):
-                        rows.append((doc_id, at, best, size, -gain, common, span - common, hi - lo - common))
+                    good = []
+                    for n in found:
+                        for first, part in _windows(block, words[n]):
+                            mine = _words(part)
+                            raw = part.encode("utf-8", "surrogatepass")
+                            size = len(alone.compress(raw))
+                            saved = size - len(with_[n].compress(raw))
+                            diff = SequenceMatcher(None, words[n], mine, autojunk=False).get_matching_blocks()
+                            common, span, lo, hi = _stretch([m for m in diff if m.size])
+                            if saved >= MIN_SAVED * size and common >= MIN_MATCH * max(span, hi - lo):
+                                good.append((-saved, n, first + lo, first + hi, (doc_id, at, n, size, saved, common, span - common, hi - lo - common)))
+                    taken = []
+                    for _, _, lo, hi, row in sorted(good, key=lambda g: g[:4]):
+                        if all(hi <= x or lo >= y for x, y in taken):
+                            taken.append((lo, hi))
+                            rows.append(row)
             cols = list(zip(*rows, strict=True)) or [()] * 8
             kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "block_from", "license", "n_compressed", "n_saved", "n_same_words", "n_missing_words", "n_added_words"])
@@ -95,6 +102,36 @@ def _scan(templates: dict[str, str]):
     return run
 
 
+def _windows(block: str, template: list[str]) -> Iterator[tuple[int, str]]:
+    """(number of words before, text): the block, and stretches of the template's length around shared runs."""
+    yield 0, block
+    spans = [m.span() for m in _WORD.finditer(block.lower()) if m.group().strip(".")]
+    slack = len(template) // 8 + 1
+    if len(spans) <= len(template) + 2 * slack or len(block.lower()) != len(block):
+        return
+    mine = _words(block)
+    at: dict[tuple[str, ...], list[int]] = {}
+    for j in range(len(template) - SHARED + 1):
+        at.setdefault(tuple(template[j : j + SHARED]), []).append(j)
+    starts = sorted({i - j for i in range(len(mine) - SHARED + 1) for j in at.get(tuple(mine[i : i + SHARED]), ())})
+    while starts:
+        near = [x for x in starts if x <= starts[0] + slack]
+        lo, hi = max(starts[0] - slack, 0), min(near[-1] + len(template) + slack, len(spans))
+        yield lo, block[spans[lo][0] : spans[hi - 1][1]]
+        starts = starts[len(near) :]
+
+
+def _stretch(diff: list) -> tuple[int, int, int, int]:
+    """(words in common, the template's stretch, from, to): matches without far ones at the ends."""
+    while diff:
+        common = sum(m.size for m in diff)
+        span, lo, hi = diff[-1].a + diff[-1].size - diff[0].a, diff[0].b, diff[-1].b + diff[-1].size
+        if len(diff) == 1 or common >= MIN_MATCH * max(span, hi - lo):
+            return common, span, lo, hi
+        diff = diff[1:] if diff[0].size < diff[-1].size else diff[:-1]
+    return 0, 0, 0, 0
+
+
 def _blocks(text: str) -> Iterator[tuple[int, str]]:
     """(place, text) of the lines; long lines in pieces that overlap by half."""
     at = 0

@@ -52,6 +52,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """docs with `_key`: the id, or a number from 2**62 on, by id and text, for null and ambiguous ids.
+
+    An id is ambiguous if its rows differ in text. Rows with equal id and text share a key.
+    """
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    by = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b"))
+    odd = materialize(by.where("a != b").select(F.col("doc_id").alias("_odd")), "ambiguous")
+    own = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62)
+    if odd.isEmpty():
+        return docs.withColumn("_key", F.when(F.col("doc_id").isNull(), own).otherwise(F.col("doc_id")))
+    out = docs.join(odd, F.col("doc_id") == F.col("_odd"), "left")
+    return out.withColumn("_key", F.when(F.col("doc_id").isNull() | F.col("_odd").isNotNull(), own).otherwise(F.col("doc_id"))).drop("_odd")
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes what `materialize` wrote for df; df must not be used afterwards."""
     jvm = df.sparkSession.sparkContext._jvm

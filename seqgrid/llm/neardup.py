@@ -23,7 +23,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -35,6 +35,10 @@ BANDS = 32
 _CHUNK = 1 << 14
 
 
+def _digest() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
 def _shingles(text: str | None, k: int, words: WordHash) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text."""
     h = words.of((text or "").encode("utf-8", "surrogatepass").lower().split())
@@ -72,8 +76,8 @@ def _sign(k: int):
                 c.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 keys.append(_band_keys(s, a, b) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "c", "keys"],
+                [batch.column("doc_id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "t", "n", "c", "keys"],
             )
 
     return run
@@ -181,9 +185,9 @@ def _left_open(star: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
 
 
 def classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, n, c) per row, (c, component_id) per class)."""
+    """((doc_id, t, n, c) per row, (c, component_id) per class)."""
     signed = materialize(
-        docs.select("doc_id", "text").mapInArrow(_sign(k), "doc_id bigint, n bigint, c binary, keys array<bigint>"),
+        docs.select("doc_id", "text", _digest().alias("t")).mapInArrow(_sign(k), "doc_id bigint, t string, n bigint, c binary, keys array<bigint>"),
         "signatures",
     )
     per_class = (
@@ -213,17 +217,23 @@ def classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
         comps = _components(links.unionByName(more))
     named = per_class.select("c", "rep").join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    return signed.select("doc_id", "n", "c"), named.join(ids, "comp").select("c", "component_id")
+    return signed.select("doc_id", "t", "n", "c"), named.join(ids, "comp").select("c", "component_id")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row."""
+    return _judged(docs, k, percent).drop("t")
+
+
+def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """near_duplicates with t, the digest of the row's text."""
     rows, named = classes(docs, k, percent)
     named = materialize(named, "components")
     out = rows.join(named, "c", "left")
     component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
         "doc_id",
+        "t",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
@@ -236,15 +246,16 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The document of the smallest id of each component; of repeated rows of that id, one."""
-    kept = near_duplicates(docs, k, percent)
-    drop = materialize(kept.where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "copies")
-    left = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    kept = _judged(docs, k, percent)
+    # By id and text, as rows of other texts may share the id, null above all.
+    drop = materialize(kept.where("not kept").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct(), "copies")
+    left = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("_id")) & (_digest() == F.col("_t")), "left_anti")
     again = materialize(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "repeats")
     if again.isEmpty():
         return left
     # Rows that share an id (few): of those with one text, one stays.
     on = F.col("doc_id").eqNullSafe(F.col("_id"))
-    first = W.partitionBy("doc_id", F.md5(F.coalesce("text", F.lit("")))).orderBy("source", "lang")
+    first = W.partitionBy("doc_id", _digest()).orderBy("source", "lang")
     one = left.join(again, on, "left_semi").withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
     return left.join(again, on, "left_anti").unionByName(one)
 

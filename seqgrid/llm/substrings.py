@@ -9,8 +9,9 @@ neighbouring suffixes by increasing value and stops at LENGTH, so that neighbour
 in LENGTH bytes or more. Anchors with more than HOT different stretches don't enter a batch; their
 strings are grouped one by one by hash.
 
-Nulls, ties and edges: null text is empty; a null id sorts last; rows that share an id count as
-one document, what repeats in one of them is cut from each; a text shorter than LENGTH loses
+Nulls, ties and edges: null text is empty; rows with a null id, or whose id comes with different
+texts, are documents of their own (by id and text) and sort last; rows of equal id and text count as
+one document; a text shorter than LENGTH loses
 nothing; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqgrid.llm.common import materialize, table
+from seqgrid.llm.common import materialize, row_keys, table
 from seqgrid.llm.wordhash import mixed
 
 LENGTH = 100
@@ -190,6 +191,8 @@ def _transform(length: int):
         held, size = [], 0
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("m", "b", "doc", "start")), strict=True):
+                if held and (row[0], *row[2:]) == (held[-1][0], *held[-1][2:]):
+                    continue  # a repeated row
                 if size > _BATCH and row[0] != held[-1][0]:
                     yield flush()
                     held, size = [], 0
@@ -223,7 +226,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
         return got.mapInArrow(_bytes_of(length, each), f"m bigint, b {kind}, doc bigint, start bigint")
 
     cold = fetched(wanted.where(F.col("kinds") <= hot), False)
-    cold = cold.repartition("m").sortWithinPartitions("m")
+    cold = cold.repartition("m").sortWithinPartitions("m", "doc", "start")
     found = cold.mapInArrow(_transform(length), "doc bigint, from bigint, to bigint")
     heated = wanted.where(F.col("kinds") > hot)
     if not heated.isEmpty():
@@ -257,9 +260,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row."""
-    ranges = materialize(repeated_ranges(docs, length, hot), "ranges")
+    docs = row_keys(docs.select("doc_id", "text"))
+    ranges = materialize(repeated_ranges(docs.select(F.col("_key").alias("doc_id"), "text"), length, hot), "ranges")
     by = ranges.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
-    out = docs.select("doc_id", "text").join(by, F.coalesce("doc_id", F.lit(_LAST)) == F.col("_doc"), "left")
+    out = docs.join(by, F.col("_key") == F.col("_doc"), "left")
     return out.select("doc_id", "text", "ranges").mapInArrow(
         _cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     )

@@ -3,12 +3,18 @@
 Every document gets fixed base measures. Documents that pass the base rule feed one quantile
 sketch per language, source and measure: a log-linear histogram that keeps the six bits below
 a value's leading one, so a quantile is off by 1/64 of its value at most. Such sketches merge by
-adding counts, so the sketch of a language, or of all, is a sum over the source sketches. Limits
-are read off the sketches and joined back to the documents.
+adding counts, so the sketch of a language, or of all, is a sum over the source sketches.
+
+A limit comes from the sketch's values above 0 alone, as most texts have no symbols, repeats or
+doubled lines at all: the median, moved out by SPREAD percent of its distance to the outer decile.
+The limits of a source are drawn towards those of its language, and these towards those of all, as
+if the wider group gave SHRINK more values; so a small group needs no rule of its own. Limits
+are joined back to the documents.
 
 Nulls, ties and edges: null or empty text has no words and fails the base rule; null language or
-source forms a group of its own (null-safe join); repeated rows are judged alike, each on its own
-row; an empty table gives an empty result; extra columns are ignored, whatever their names.
+source forms a group of its own (null-safe join); a measure that is 0 in all texts sets no limit;
+repeated rows are judged alike, each on its own row; an empty table gives an empty result; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,17 +28,20 @@ from seqgrid.llm.common import materialize, shifted, table, word_array
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Groups with fewer documents take the limits of their language, then of all.
-MIN_GROUP = 100
-#: measure -> (least distance from the median to a limit, whether there is a lower limit too)
+#: measure -> whether there is a lower limit too
 MEASURES = {
-    "symbol_pm": (60, False),
-    "upper_pm": (120, False),
-    "dup_line_pm": (350, False),
-    "repeat_pm": (350, False),
-    "word_len_pc": (200, True),
+    "symbol_pm": False,
+    "upper_pm": False,
+    "dup_line_pm": False,
+    "repeat_pm": False,
+    "word_len_pc": True,
 }
-SPREAD = 3
+#: Percent of the distance from the median to the outer decile.
+SPREAD = 300
+#: Values that a wider group's limit counts for.
+SHRINK = 100
+#: Groups up to which limits are broadcast (about 100 bytes each).
+BROADCAST_GROUPS = 100_000
 _KEPT_BITS = 7
 
 
@@ -140,116 +149,89 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def limits(sketch: DataFrame) -> DataFrame:
-    """(level, lang, source, n_group, <measure>_hi, word_len_pc_lo): median and outer quartiles
-    of each sketch, moved out by SPREAD times their distance or the least distance, if larger."""
+    """(lang, source, <measure>_hi, word_len_pc_lo) of each source, drawn towards wider groups."""
     w = W.partitionBy("level", "lang", "source", "measure")
+    above = F.when(F.col("bucket") > 0, F.col("n")).otherwise(0)
     upto = w.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    cum = sketch.select(
-        "*", F.sum("n").over(upto).alias("upto"), F.sum("n").over(w).alias("total")
-    )
-    q = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("bucket")))
-    quart = cum.groupBy("level", "lang", "source", "measure").agg(
-        q(25).alias("q1"), q(50).alias("q2"), q(75).alias("q3"), F.max("total").alias("total")
+    cum = sketch.select("*", F.sum(above).over(upto).alias("upto"), F.sum(above).over(w).alias("total"))
+    q = lambda p: F.min(F.when((100 * F.col("upto") >= p * F.col("total")) & (F.col("bucket") > 0), F.col("bucket")))
+    own = cum.groupBy("level", "lang", "source", "measure").agg(
+        q(10).alias("q1"), q(50).alias("q2"), q(90).alias("q3"), F.max("total").alias("n")
     )
-    out = []
-    for m, (least, both) in MEASURES.items():
-        pick = lambda e: F.max(F.when(F.col("measure") == m, e))  # noqa: B023, E731
-        up = F.col("q2") + F.greatest(SPREAD * (F.col("q3") - F.col("q2")), F.lit(least))
-        out.append(pick(up).alias(f"{m}_hi"))
-        if both:
-            down = F.col("q2") - F.greatest(SPREAD * (F.col("q2") - F.col("q1")), F.lit(least))
-            out.append(pick(down).alias(f"{m}_lo"))
-    return quart.groupBy("level", "lang", "source").agg(F.max("total").alias("n_group"), *out)
+    own = own.select(
+        "level", "lang", "source", "measure", "n",
+        F.expr(f"q2 + ({SPREAD} * (q3 - q2)) div 100").alias("hi"),
+        F.expr(f"if(q2 is null, null, greatest(q2 - ({SPREAD} * (q2 - q1)) div 100, 0))").alias("lo"),
+    )
+    at = lambda n: own.where(F.col("level") == n)
+    tongue = at(1).select(F.col("lang").alias("_lang"), F.col("measure").alias("_bm"), F.col("n").alias("n1"), F.col("hi").alias("hi1"), F.col("lo").alias("lo1"))
+    whole = at(0).select(F.col("measure").alias("_cm"), F.col("hi").alias("hi0"), F.col("lo").alias("lo0"))
+    df = at(2).join(tongue, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_bm")), "left")
+    df = df.join(whole, F.col("measure") == F.col("_cm"), "left")
+    for side in ("hi", "lo"):
+        up = f"((n1 * coalesce({side}1, 0) + {SHRINK} * {side}0) div (n1 + {SHRINK}))"
+        df = df.withColumn(f"_{side}", F.expr(f"(n * coalesce({side}, 0) + {SHRINK} * {up}) div (n + {SHRINK})"))
+    pick = lambda m, side: F.max(F.when(F.col("measure") == m, F.col(f"_{side}"))).alias(f"{m}_{side}")
+    return df.groupBy("lang", "source").agg(*[pick(m, side) for m, both in MEASURES.items() for side in ("hi", "lo")[: 1 + both]])
 
 
 def judge(measured: DataFrame, limit: DataFrame) -> DataFrame:
-    """Adds kept: limits of the source where its group is large enough, else of the language,
-    else of all. Limits have a row per group, so the optimizer picks the join from their size."""
-    names = [f"{m}_hi" for m in MEASURES] + [f"{m}_lo" for m, (_, b) in MEASURES.items() if b]
-    at = lambda n, pre: limit.where(F.col("level") == n).select(
-        F.col("lang").alias(f"{pre}lang"),
-        F.col("source").alias(f"{pre}source"),
-        F.col("n_group").alias(f"{pre}n"),
-        F.struct(*names).alias(f"{pre}lim"),
-    )
-    mine, tongue, whole = at(2, "_a"), at(1, "_b"), at(0, "_c")
-    groups = (
-        mine.join(tongue, F.col("_alang").eqNullSafe(F.col("_blang")), "left")
-        .join(whole.select("_clim"), F.lit(True), "left")  # one row
-        .select(
-            "_alang",
-            "_asource",
-            F.when(F.col("_an") >= MIN_GROUP, F.col("_alim"))
-            .when(F.col("_bn") >= MIN_GROUP, F.col("_blim"))
-            .otherwise(F.col("_clim"))
-            .alias("_lim"),
-        )
-    )
+    """Adds kept. Limits have a row per group; those of BROADCAST_GROUPS groups at most are broadcast,
+    else the join deals the rows out by group, and Spark splits groups that are too large."""
+    names = [f"{m}_{side}" for m, both in MEASURES.items() for side in ("hi", "lo")[: 1 + both]]
+    groups = limit.select(F.col("lang").alias("_alang"), F.col("source").alias("_asource"), F.struct(*names).alias("_lim"))
+    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     joined = measured.join(
-        groups,
+        F.broadcast(groups) if few else groups,
         F.col("lang").eqNullSafe(F.col("_alang")) & F.col("source").eqNullSafe(F.col("_asource")),
         "left",
     )
     ok = ~F.col("base_failed")
-    for m, (_, both) in MEASURES.items():
-        ok = ok & (F.col(m) <= F.col(f"_lim.{m}_hi"))
+    for m, both in MEASURES.items():
+        ok = ok & F.coalesce(F.col(m) <= F.col(f"_lim.{m}_hi"), F.lit(True))
         if both:
-            ok = ok & (F.col(m) >= F.col(f"_lim.{m}_lo"))
-    return joined.withColumn("kept", F.coalesce(ok, F.lit(False))).drop("_alang", "_asource", "_lim")
+            ok = ok & F.coalesce(F.col(m) >= F.col(f"_lim.{m}_lo"), F.lit(True))
+    return joined.withColumn("kept", ok).drop("_alang", "_asource", "_lim")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     measured = materialize(with_measures(base_columns(docs)), "quality")
-    return judge(measured, limits(sketches(measured))).select(
+    return judge(measured, materialize(limits(sketches(measured)), "limits")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", *MEASURES,
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass the base rule and the adaptive limits, with their columns."""
+    """The documents that pass the base rule and the adaptive limits, with their columns.
+
+    Documents are measured once and written with their measures, so that neither the sketches nor
+    the verdicts measure again, and no text is shuffled.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     base = docs.select(
         F.col("lang"), F.col("source"), F.coalesce(F.col("text"), F.lit("")).alias("t"), row.alias("row")
     )
-    measured = with_measures(_measured(base, "t")).drop("t", "w", "s", "h", "g")
-    limit = materialize(limits(sketches(measured.drop("row"))), "limits")
+    measured = with_measures(_measured(base, "t")).select("row", "lang", "source", "base_failed", *MEASURES)
+    measured = materialize(measured, "measured")
+    limit = materialize(limits(sketches(measured)), "limits")
     return judge(measured, limit).where("kept").select("row.*")
 
 
-_SQL_MEASURES = """
-symbol_pm, upper_pm, dup_line_pm, repeat_pm, word_len_pc
-""".strip()
-
-
-def _sql(kind: str, docs: str = "documents") -> str:
-    """kind: 'report' for the query's rows, 'keep' for the pipeline's documents."""
-    picks = ", ".join(
-        f"max(case when measure = '{m}' then q2 + greatest({SPREAD} * (q3 - q2), {least}) end) as {m}_hi"
-        + (f", max(case when measure = '{m}' then q2 - greatest({SPREAD} * (q2 - q1), {least}) end) as {m}_lo" if both else "")
-        for m, (least, both) in MEASURES.items()
-    )
+def _sql() -> str:
     stack = " union all ".join(
         f"select lang, source, '{m}' as measure, {m} as v from m where not base_failed" for m in MEASURES
     )
-    ok = " and ".join(
-        f"m.{m} <= lim.{m}_hi" + (f" and m.{m} >= lim.{m}_lo" if both else "")
-        for m, (_, both) in MEASURES.items()
+    sides = [(m, side) for m, both in MEASURES.items() for side in ("hi", "lo")[: 1 + both]]
+    picks = ", ".join(f"max(case when measure = '{m}' then s_{side} end) as {m}_{side}" for m, side in sides)
+    ok = " and ".join(f"coalesce(m.{m} {'<=' if side == 'hi' else '>='} lim.{m}_{side}, true)" for m, side in sides)
+    drawn = ", ".join(
+        f"(a.n * coalesce(a.{x}, 0) + {SHRINK} * ((b.n * coalesce(b.{x}, 0) + {SHRINK} * c.{x}) // (b.n + {SHRINK}))) // (a.n + {SHRINK}) as s_{x}"
+        for x in ("hi", "lo")
     )
-    names = ", ".join(
-        f"case when a.total >= {MIN_GROUP} then a.{n} when b.total >= {MIN_GROUP} then b.{n} else c.{n} end as {n}"
-        for m, (_, both) in MEASURES.items()
-        for n in [f"{m}_hi"] + ([f"{m}_lo"] if both else [])
-    )
-    out = (
-        f"doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, {_SQL_MEASURES}"
-        if kind == "report"
-        else "doc_id, text, lang, source, n_chars"
-    )
-    where = "" if kind == "report" else "where kept"
     return rf"""
-with d as (select row_number() over () as rid, * from {docs}),
+with d as (select row_number() over () as rid, * from documents),
 w as (select rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from d),
 tri as (
   select rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g
@@ -267,7 +249,7 @@ ln as (
   from d
 ),
 b as (
-  select d.rid, doc_id, text, lang, source, n_chars, len(w)::bigint as n_words,
+  select d.rid, doc_id, lang, source, len(w)::bigint as n_words,
     length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
     len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::bigint as n_symbols,
     (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
@@ -293,32 +275,35 @@ lv as (
   union all select 1, lang, null, measure, bucket from bk
   union all select 0, null, null, measure, bucket from bk
 ),
-sk as (select level, lang, source, measure, bucket, count(*) as n from lv group by all),
+sk as (select level, lang, source, measure, bucket, count(*) filter (bucket > 0) as n from lv group by all),
 cu as (
-  select *, sum(n) over (partition by level, lang, source, measure order by bucket) as upto,
-    sum(n) over (partition by level, lang, source, measure) as total
+  select *, sum(n) over (partition by level, lang, source, measure order by bucket)::bigint as upto,
+    sum(n) over (partition by level, lang, source, measure)::bigint as total
   from sk
 ),
 qt as (
-  select level, lang, source, measure, max(total) as total,
-    min(case when 100 * upto >= 25 * total then bucket end) as q1,
-    min(case when 100 * upto >= 50 * total then bucket end) as q2,
-    min(case when 100 * upto >= 75 * total then bucket end) as q3
+  select level, lang, source, measure, max(total) as n,
+    min(bucket) filter (bucket > 0 and 100 * upto >= 10 * total) as q1,
+    min(bucket) filter (bucket > 0 and 100 * upto >= 50 * total) as q2,
+    min(bucket) filter (bucket > 0 and 100 * upto >= 90 * total) as q3
   from cu group by all
 ),
-li as (select level, lang, source, max(total) as total, {picks} from qt group by level, lang, source),
-lim as (
-  select a.lang as g_lang, a.source as g_source, {names}
+li as (
+  select level, lang, source, measure, n, q2 + ({SPREAD} * (q3 - q2)) // 100 as hi,
+    case when q2 is not null then greatest(q2 - ({SPREAD} * (q2 - q1)) // 100, 0) end as lo
+  from qt
+),
+dr as (
+  select a.lang, a.source, a.measure, {drawn}
   from (select * from li where level = 2) a
-  left join (select * from li where level = 1) b on a.lang is not distinct from b.lang
-  cross join (select * from li where level = 0) c
+  left join (select * from li where level = 1) b on a.lang is not distinct from b.lang and a.measure = b.measure
+  left join (select * from li where level = 0) c on a.measure = c.measure
 ),
-j as (
-  select m.*, coalesce(not base_failed and {ok}, false) as kept
-  from m left join lim on m.lang is not distinct from g_lang and m.source is not distinct from g_source
-)
-select {out} from j {where}
+lim as (select lang as g_lang, source as g_source, {picks} from dr group by lang, source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and {ok} as kept, {", ".join(MEASURES)}
+from m left join lim on m.lang is not distinct from g_lang and m.source is not distinct from g_source
 """
 
 
-SQL = _sql("report")
+SQL = _sql()

@@ -52,7 +52,8 @@ def _stretches(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
             g = g[:-size] * np.uint64(0x9E3779B97F4A7C15) + mixed(g[size:])
             size *= 2
         low = np.uint64((1 << 24) - 1)
-        g = (mixed(g) & ~low) | np.arange(len(g), dtype=np.uint64)
+        full = mixed(g)  # the high bits pick the least gram, its whole hash names the anchor
+        g = (full & ~low) | np.arange(len(g), dtype=np.uint64)
         size, want = 1, length - GRAM + 1
         while size * 2 <= want:
             g = np.minimum(g[:-size], g[size:])
@@ -61,7 +62,7 @@ def _stretches(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
             g = np.minimum(g[: len(g) - (want - size)], g[want - size :])
         begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         count = np.diff(np.append(begin, len(g)))
-        parts.append(((g[begin] >> np.uint64(24)).view(np.int64), begin + at, count))
+        parts.append((full[(g[begin] & low).view(np.int64)].view(np.int64), begin + at, count))
     if not parts:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
@@ -92,70 +93,96 @@ def _scan(length: int, whole: bool):
 
 
 def _suffix_ranks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix array, its inverse, symbols): every text ends with a mark of its own, below all bytes."""
-    sizes = np.array([len(t) + 1 for t in texts])
-    sym = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + len(texts)
-    sym[np.cumsum(sizes) - 1] = np.arange(len(texts))
-    n, rank, step = len(sym), sym, 1
-    while True:
-        key = rank * (n + len(texts) + 256)
-        key[:-step] += rank[step:] + 1
-        sa = np.argsort(key)
-        new = np.empty(n, np.int64)
-        new[sa] = np.cumsum(np.concatenate([[0], (key[sa[1:]] != key[sa[:-1]])]))
-        rank, step = new, step * 2
-        if rank[sa[-1]] == n - 1:
-            return sa, rank, sym
+    """(suffix array, its inverse, symbols) of the texts one behind the other, each with mark 0 at its end."""
+    sym = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
+    sym[np.cumsum([len(t) + 1 for t in texts]) - 1] = 0
+    n = len(sym)
+
+    def joined(high: np.ndarray, low: np.ndarray, by: int, bits: int) -> np.ndarray:
+        out = high << bits
+        out[:-by] |= low[by:]
+        return out
+
+    two = joined(sym, sym, 1, 9)
+    seven = joined(joined(joined(two, two, 2, 18), two, 4, 18), sym, 6, 9)
+    sa = np.argsort(seven)
+    key = seven[sa]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    first, step = np.flatnonzero(new), 7
+    # A suffix ranks by its group's first place; groups of one are settled.
+    rank = np.empty(n, np.int64)
+    rank[sa] = np.repeat(first, np.diff(np.append(first, n)))
+    open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
+    while len(open_):
+        at = sa[open_]
+        group = rank[at]
+        after = np.where(at + step < n, rank[np.minimum(at + step, n - 1)] + 1, 0)
+        order = np.argsort(group * (n + 1) + after)
+        at, group, after = at[order], group[order], after[order]
+        sa[open_] = at
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | (after[1:] != after[:-1])])
+        first = np.flatnonzero(new)
+        rank[at] = np.repeat(open_[first], np.diff(np.append(first, len(at))))
+        open_ = open_[~(new & np.append(new[1:], True))]
+        step *= 2
+    return sa, rank, sym
 
 
 def _agreeing(sa: np.ndarray, rank: np.ndarray, sym: np.ndarray, length: int) -> np.ndarray:
-    """For every place of the suffix array, whether it agrees with the one before in `length` symbols."""
+    """For every place of the suffix array, whether it agrees with the one before in `length` symbols.
+
+    It may be true as well where a text ends within `length` symbols. Words over a text's end are not
+    extended. Places with one preceding symbol map as a whole, so intervals are parted by runs.
+    """
     n = len(sa)
     lf, bwt = rank[sa - 1], sym[sa - 1]
+    begins = np.concatenate([[True], bwt[1:] != bwt[:-1]])
+    run, begins = np.cumsum(begins) - 1, np.flatnonzero(begins)
+    ends = np.append(begins[1:], n)
     unset = np.ones(n + 1, bool)
     unset[[0, n]] = False
     lo, hi = np.array([0]), np.array([n])
     for _ in range(length):
         if not len(lo):
             break
-        size = hi - lo
+        size = run[hi - 1] - run[lo] + 1
         owner = np.repeat(np.arange(len(lo)), size)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-        # Within an interval, equal preceding symbols lead to neighbouring places.
-        order = np.argsort(owner * n + lf[at])
-        at, owner = at[order], owner[order]
-        cut = np.concatenate([[True], (owner[1:] != owner[:-1]) | (bwt[at[1:]] != bwt[at[:-1]])])
-        first = np.flatnonzero(cut)
-        last = np.append(first[1:], len(at)) - 1
-        new_lo, new_hi = lf[at[first]], lf[at[last]] + 1
-        fresh = unset[new_hi]
-        lo, hi = new_lo[fresh], new_hi[fresh]
-        hi, keep = np.unique(hi, return_index=True)
-        lo = lo[keep]
-        unset[hi] = False
+        r = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size - run[lo], size)
+        left, right, by = lf[np.maximum(begins[r], lo[owner])], lf[np.minimum(ends[r], hi[owner]) - 1] + 1, bwt[begins[r]]
+        if len(owner) > len(lo):
+            # Within an interval, equal preceding symbols lead to neighbouring places.
+            order = np.argsort(owner * n + left)
+            left, right, by, owner = left[order], right[order], by[order], owner[order]
+            first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (by[1:] != by[:-1])]))
+            left, right, by = left[first], right[np.append(first[1:], len(by)) - 1], by[first]
+        fresh = unset[right]
+        unset[right] = False
+        fresh &= by > 0
+        lo, hi = left[fresh], right[fresh]
     return unset[:n]
 
 
 def _repeats(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """(doc, from, to) of the starts whose string also starts earlier, in runs."""
+    """(doc, from, to) of the starts whose string also starts earlier, in runs.
+
+    Texts of one anchor come in order of doc and start, so an earlier string has a lower place."""
     sa, rank, sym = _suffix_ranks(texts)
     same = _agreeing(sa, rank, sym, length)
-    group = np.cumsum(~same)
     sizes = np.array([len(t) + 1 for t in texts])
-    text = np.repeat(np.arange(len(texts)), sizes)[sa]
-    place = sa - (np.cumsum(sizes) - sizes)[text]
-    valid = place + length < sizes[text]
-    text, place, group = text[valid], place[valid], group[valid]
-    doc, pos = docs[text], starts[text] + place
-    order = np.lexsort((pos, doc, group))
-    doc, pos, group = doc[order], pos[order], group[order]
-    later = np.concatenate([[False], group[1:] == group[:-1]])
-    doc, pos = doc[later], pos[later]
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
-    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)])) if len(doc) else []
-    ends = np.append(first[1:], len(doc)) - 1 if len(doc) else []
-    return [(int(doc[a]), int(pos[a]), int(pos[b]) + length) for a, b in zip(first, ends, strict=True)]
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    valid = (ends[owner] - np.arange(len(sym)) > length)[sa]
+    place, group = sa[valid], np.cumsum(~same | ~valid)[valid]
+    later = np.zeros(len(sym), bool)
+    if len(place):
+        head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        later[place] = True
+        later[np.minimum.reduceat(place, head)] = False
+    at = np.flatnonzero(later)
+    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(owner[at]) != 0)) + 1
+    first, last = at[np.append(0, cut)[: len(at)]], at[np.append(cut, len(at))[: len(at)] - 1]
+    doc, begin = docs[owner[first]], starts[owner[first]] - (ends - sizes)[owner[first]]
+    return list(zip(doc.tolist(), (first + begin).tolist(), (last + begin + length).tolist(), strict=True))
 
 
 def _bytes_of(length: int, each: bool):
@@ -208,6 +235,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     """(doc, from, to) byte ranges that repeat earlier text; they may overlap."""
     src = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "text")
     often = src.mapInArrow(_scan(length, False), "m bigint").groupBy("m").count().where("count > 1").select("m")
+    # Written, so that the join below is between plain exchanges and Spark can split a frequent anchor.
+    often = materialize(often, "anchors")
     rows = src.mapInArrow(_scan(length, True), "m bigint, cx bigint, doc bigint, start bigint, n bigint")
     rows = materialize(rows.join(often, "m", "left_semi"), "stretches")
     firsts = materialize(

@@ -16,6 +16,37 @@ PKA_POSITIVE = {"H": 6.5, "K": 10.8, "R": 12.5}
 PKA_NEGATIVE = {"D": 3.9, "E": 4.1, "C": 8.5, "Y": 10.1}
 PKA_ENDS = (8.6, 3.6)
 
+#: Name, three letters and kind of each residue.
+RESIDUES = {
+    "A": ("Alanine", "Ala", "Hydrophobic"),
+    "R": ("Arginine", "Arg", "Positive (basic)"),
+    "N": ("Asparagine", "Asn", "Polar"),
+    "D": ("Aspartate", "Asp", "Negative (acidic)"),
+    "C": ("Cysteine", "Cys", "Special (thiol)"),
+    "E": ("Glutamate", "Glu", "Negative (acidic)"),
+    "Q": ("Glutamine", "Gln", "Polar"),
+    "G": ("Glycine", "Gly", "Special (flexible)"),
+    "H": ("Histidine", "His", "Positive / aromatic"),
+    "I": ("Isoleucine", "Ile", "Hydrophobic (aliphatic)"),
+    "L": ("Leucine", "Leu", "Hydrophobic (aliphatic)"),
+    "K": ("Lysine", "Lys", "Positive (basic)"),
+    "M": ("Methionine", "Met", "Hydrophobic"),
+    "F": ("Phenylalanine", "Phe", "Aromatic"),
+    "P": ("Proline", "Pro", "Special (rigid)"),
+    "S": ("Serine", "Ser", "Polar"),
+    "T": ("Threonine", "Thr", "Polar"),
+    "W": ("Tryptophan", "Trp", "Aromatic"),
+    "Y": ("Tyrosine", "Tyr", "Aromatic"),
+    "V": ("Valine", "Val", "Hydrophobic (aliphatic)"),
+    "B": ("Asx (Asn/Asp)", "Asx", "Ambiguous"),
+    "Z": ("Glx (Gln/Glu)", "Glx", "Ambiguous"),
+    "X": ("Any residue", "Xaa", "Unknown"),
+    "U": ("Selenocysteine", "Sec", "Special"),
+    "O": ("Pyrrolysine", "Pyl", "Special"),
+    "*": ("Stop", "*", "\u2014"),
+    "-": ("Gap", "\u2014", "Alignment gap"),
+}
+
 CLASS_OF = {a: k for k, members in PROPERTY_CLASS.items() for a in members}
 GROUP_OF = {a: k for k, members in COLOUR_GROUP.items() for a in members}
 

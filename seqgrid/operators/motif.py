@@ -3,6 +3,7 @@
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqgrid.functions.alphabet import ALPHABET, ungap
@@ -26,10 +27,29 @@ def find_motifs(seqs: DataFrame, regex: str) -> DataFrame:
     return df.select("aln_id", "row_ix", "match_ix", F.col("m.s").alias("u_start"), F.col("m.e").alias("u_end"))
 
 
-def count_motifs(seqs: DataFrame, patterns: list[str]) -> DataFrame:
-    """(row_ix, pattern, matches) of each of a list of patterns, zeros included."""
-    each = F.explode(F.array(*[F.lit(p) for p in patterns])).alias("pattern")
-    return seqs.select("row_ix", ungap(F.col("aligned")).alias("u"), each).select("row_ix", "pattern", F.regexp_count("u", F.col("pattern")).alias("matches"))
+def count_motifs(seqs: DataFrame, patterns: DataFrame | list[str]) -> DataFrame:
+    """(row_ix, pattern, matches) of each pattern of a table (pattern) or list, zeros included."""
+    if not isinstance(patterns, DataFrame):
+        patterns = seqs.sparkSession.createDataFrame([(p,) for p in patterns], "pattern string")
+    # Every row meets every pattern: the result has a row for each. A table of patterns is a stated query set.
+    each = seqs.select("row_ix", ungap(F.col("aligned")).alias("u")).crossJoin(F.broadcast(patterns.select("pattern")))
+    return each.select("row_ix", "pattern", F.regexp_count("u", F.col("pattern")).alias("matches"))
+
+
+def match_list(ranges: DataFrame) -> DataFrame:
+    """Matches (aln_id, row_ix, match_ix, col_from, col_to) in order of rows and columns, with `nth` from 0, the
+    alignment's `matches`, and the number of the next and the previous one, around the ends.
+
+    Numbers run within a row and start behind the rows before, so that no task orders all matches.
+    """
+    rows = ranges.groupBy("aln_id", "row_ix").agg(F.count("*").alias("n"))
+    upto = W.partitionBy("aln_id").orderBy("row_ix").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.select("aln_id", "row_ix", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.sum("n").over(W.partitionBy("aln_id")).alias("matches"))
+    here = F.row_number().over(W.partitionBy("aln_id", "row_ix").orderBy("col_from")) - 1
+    df = ranges.withColumn("here", here).join(rows, ["aln_id", "row_ix"])
+    df = df.withColumn("nth", F.col("before") + F.col("here"))
+    step = lambda k: F.pmod(F.col("nth") + k, F.col("matches"))
+    return df.select("aln_id", "row_ix", "match_ix", "col_from", "col_to", "nth", "matches", step(1).alias("next"), step(-1).alias("previous"))
 
 
 def compile_pattern(source: str) -> str:

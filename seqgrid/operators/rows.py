@@ -1,9 +1,10 @@
 """Parts of alignments: rectangles, subsets, names, residue classes, motif coverage."""
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqgrid.functions.residues import CLASS_OF, by_code
+from seqgrid.functions.residues import CLASS_OF, RESIDUES, by_code
 
 
 def slice_rows(seqs: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
@@ -59,3 +60,25 @@ def with_external(variants: DataFrame, scores: DataFrame) -> DataFrame:
     df = variants.join(scores.select("seq_name", "position", "to_aa", "score", "confidence"), ["seq_name", "position", "to_aa"], "left")
     score = F.least(F.greatest(F.floor(F.coalesce("score", F.lit(0.0)) + 0.5), F.lit(0)), F.lit(100))
     return df.withColumns({"score": score.cast("long"), "confidence": F.coalesce("confidence", F.lit(0.0))})
+
+
+def overview(seqs: DataFrame, width: int, height: int) -> DataFrame:
+    """(aln_id, x, y, row_ix, col, ch): a grid of width times height places of each alignment, by nearest sample.
+
+    Only the sampled rows are read further, and only their sampled columns are cut out.
+    """
+    size = seqs.groupBy("aln_id").agg(F.count("*").alias("n"), F.max(F.length("aligned")).alias("w"))
+    pick = lambda k, of, n: F.expr(f"least({n} - 1, {k} * {n} div {of})")
+    ys = size.select("aln_id", "w", "n", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("aln_id", "w", "y", pick("y", height, "n").alias("nth"))
+    order = W.partitionBy("aln_id").orderBy("row_ix")
+    ranked = seqs.select("aln_id", "row_ix", "aligned", (F.row_number().over(order) - 1).alias("nth"))
+    rows = ranked.join(ys, ["aln_id", "nth"]).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).where("w > 0")
+    rows = rows.withColumn("col", pick("x", width, "w"))
+    ch = F.substring("aligned", F.col("col").cast("int") + 1, F.lit(1))
+    return rows.select("aln_id", "x", "y", "row_ix", F.col("col").cast("int").alias("col"), F.when(ch == "", "-").otherwise(ch).alias("ch"))
+
+
+def described(cells: DataFrame) -> DataFrame:
+    """Cells with the residue's name, three letters and kind; what the table lacks counts as any residue."""
+    columns = {"residue": 0, "three": 1, "kind": 2}
+    return cells.withColumns({n: by_code({a: v[k] for a, v in RESIDUES.items()}, F.col("code"), RESIDUES["X"][k]) for n, k in columns.items()})

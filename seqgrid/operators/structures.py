@@ -60,12 +60,56 @@ def superpose(pairs_matched: DataFrame) -> DataFrame:
     return df.select("mobile", "ref", "n", "rotation", F.array(*shift).alias("shift"))
 
 
+def turned(df: DataFrame, x: str, y: str, z: str) -> list:
+    """The columns x, y, z of df after the fit in its columns rotation and shift."""
+    return [F.col("shift")[k] + sum(F.col("rotation")[3 * k + i] * F.col(c) for i, c in enumerate((x, y, z))) for k in range(3)]
+
+
+def transformed(atoms: DataFrame, fits: DataFrame) -> DataFrame:
+    """Atoms of each fit's mobile model, moved onto its ref."""
+    df = atoms.join(fits.select(F.col("mobile").alias("model_id"), "ref", "rotation", "shift"), "model_id")
+    moved = dict(zip(AXES, turned(df, *AXES), strict=True))
+    return df.select("model_id", "ref", "residue_ix", *[moved[a].alias(a) for a in AXES], "plddt")
+
+
+def transformed_lines(lines: DataFrame, fits: DataFrame) -> DataFrame:
+    """PDB lines (model_id, line, s) with the coordinates of atoms moved by their model's fit; other columns stay.
+
+    Lines that are no atoms, or whose coordinates aren't numbers, stay as they are.
+    """
+    df = lines.join(F.broadcast(fits.select(F.col("mobile").alias("model_id"), "rotation", "shift")), "model_id")
+    number = lambda at: F.expr(f"try_cast(trim(substring(s, {at}, 8)) as double)")
+    df = df.withColumns({"_x": number(31), "_y": number(39), "_z": number(47)})
+    new = F.concat(*[F.format_string("%8.3f", c) for c in turned(df, "_x", "_y", "_z")])
+    atom = F.col("s").rlike("^(ATOM|HETATM)") & F.col("_x").isNotNull() & F.col("_y").isNotNull() & F.col("_z").isNotNull()
+    text = F.when(atom, F.concat(F.substring("s", 1, 30), new, F.expr("substring(s, 55)"))).otherwise(F.col("s"))
+    return df.select("model_id", "line", text.alias("s"))
+
+
 def deviations(pairs_matched: DataFrame, fits: DataFrame) -> DataFrame:
     """(mobile, ref, residue_ix, dev): distance of each matched residue after the fit."""
     df = pairs_matched.join(fits, ["mobile", "ref"])
-    off = [F.col("shift")[k] + sum(F.col("rotation")[3 * k + i] * F.col("m" + b) for i, b in enumerate(AXES)) - F.col("r" + a) for k, a in enumerate(AXES)]
+    off = [p - F.col("r" + a) for p, a in zip(turned(df, "mx", "my", "mz"), AXES, strict=True)]
     return df.select("mobile", "ref", "residue_ix", F.sqrt(sum(o * o for o in off)).alias("dev"))
 
 
+def all_deviations(atoms: DataFrame, devs: DataFrame, fits: DataFrame) -> DataFrame:
+    """(mobile, ref, residue_ix, dev) of every residue of the mobile model; null where the other has none."""
+    mine = fits.select("mobile", "ref").join(atoms.select(F.col("model_id").alias("mobile"), "residue_ix"), "mobile")
+    return mine.join(devs, ["mobile", "ref", "residue_ix"], "left").select("mobile", "ref", "residue_ix", "dev")
+
+
+def mutant_summary(sites: DataFrame, atoms: DataFrame, devs: DataFrame) -> DataFrame:
+    """sites (mobile, ref, position from 1) with rmsd, and the deviation and change of confidence at the site.
+
+    A pair without a fit has nulls: it has too few residues in common.
+    """
+    at = sites.withColumn("residue_ix", F.col("position") - 1)
+    p = lambda side: atoms.select(F.col("model_id").alias(side), "residue_ix", F.col("plddt").alias(f"p_{side}"))
+    df = at.join(rmsd(devs), ["mobile", "ref"], "left").join(devs, ["mobile", "ref", "residue_ix"], "left")
+    df = df.join(p("mobile"), ["mobile", "residue_ix"], "left").join(p("ref"), ["ref", "residue_ix"], "left")
+    return df.select("mobile", "ref", "position", "n", "rmsd", "dev", (F.col("p_mobile") - F.col("p_ref")).alias("plddt_change"))
+
+
 def rmsd(devs: DataFrame) -> DataFrame:
     return devs.groupBy("mobile", "ref").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("dev") * F.col("dev"))).alias("rmsd"))

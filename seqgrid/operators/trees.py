@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqgrid.functions.lineage import cut
+
 
 def geo_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root, regions, nations and suppliers as one tree."""
@@ -105,3 +107,56 @@ def paths(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def supported(nodes: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Nodes with `strong`: whether their support reaches the threshold, held within 0 and 1."""
     return nodes.withColumn("strong", F.col("support") >= min(max(threshold, 0.0), 1.0))
+
+
+def walk_down(nodes: DataFrame) -> DataFrame:
+    """Nodes of many trees with `path`, the child numbers from the root to the node.
+
+    The nodes are written first, as each level of the recursion reads them again.
+    """
+    nodes = cut(nodes)
+    nodes.createOrReplaceTempView("_walk_nodes")
+    found = nodes.sparkSession.sql(
+        "with recursive down(tree_id, node_id, path) max recursion level 1000000 as ("
+        " select tree_id, node_id, array(0) from _walk_nodes where parent_id is null"
+        " union all select n.tree_id, n.node_id, array_append(d.path, n.child_ix) from down d join _walk_nodes n on n.tree_id = d.tree_id and n.parent_id = d.node_id)"
+        " select tree_id, node_id, path from down"
+    )
+    return nodes.join(found, ["tree_id", "node_id"])
+
+
+def clades(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node_id, leaves): the sorted leaf names under each inner node.
+
+    A node's leaves are those whose path starts with its own, met by exploding each leaf's path.
+    """
+    at = walk_down(nodes).select("tree_id", "node_id", "path", "name")
+    inner = nodes.select("tree_id", F.col("parent_id").alias("node_id")).where("node_id is not null").distinct()
+    leaf = at.join(inner, ["tree_id", "node_id"], "left_anti")
+    above = leaf.select("tree_id", "name", F.explode(F.expr("transform(sequence(1, greatest(size(path) - 1, 1)), k -> slice(path, 1, k))")).alias("path"))
+    met = at.join(inner, ["tree_id", "node_id"]).select("tree_id", "node_id", "path").join(above, ["tree_id", "path"])
+    return met.groupBy("tree_id", "node_id").agg(F.sort_array(F.collect_list("name")).alias("leaves"))
+
+
+def bipartitions(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node_id, split): the side of each inner branch without the first leaf; trivial splits are left out.
+
+    Of nodes with one split, as both children of a root, the later one keeps it.
+    """
+    whole = clades(nodes)
+    leaves = nodes.join(nodes.select("tree_id", F.col("parent_id").alias("node_id")), ["tree_id", "node_id"], "left_anti")
+    all_ = leaves.groupBy("tree_id").agg(F.sort_array(F.collect_list("name")).alias("all"))
+    df = whole.join(all_, "tree_id").where("size(leaves) between 2 and size(all) - 2")
+    side = F.when(F.array_contains("leaves", F.col("all")[0]), F.array_except("all", "leaves")).otherwise(F.col("leaves"))
+    return df.groupBy("tree_id", side.alias("split")).agg(F.max("node_id").alias("node_id")).select("tree_id", "node_id", "split")
+
+
+def with_support(nodes: DataFrame, replicates: DataFrame, n: int) -> DataFrame:
+    """Nodes with support: the share of n replicate trees (tree_id, rep, ...) that hold the node's split."""
+    own = bipartitions(nodes)
+    key = F.to_json(F.struct("tree_id", "rep"))
+    made = bipartitions(replicates.withColumn("tree", F.col("tree_id")).withColumn("tree_id", key))
+    names = replicates.select(key.alias("tree_id"), F.col("tree_id").alias("tree")).distinct()
+    seen = made.join(names, "tree_id").groupBy(F.col("tree").alias("tree_id"), "split").agg(F.count("*").alias("times"))
+    met = own.join(seen, ["tree_id", "split"], "left").select("tree_id", "node_id", (F.coalesce("times", F.lit(0)) / F.lit(float(n))).alias("_share"))
+    return nodes.drop("support").join(met, ["tree_id", "node_id"], "left").withColumnRenamed("_share", "support")

@@ -1,10 +1,9 @@
 """Variants (seq_name, position, from_aa, to_aa): text in and out, places, scores."""
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqgrid.functions.alphabet import decode, encode
+from seqgrid.functions.alphabet import CANONICAL, decode, encode
 
 
 def read_variants(spark: SparkSession, path: str) -> DataFrame:
@@ -44,22 +43,51 @@ def first_of_each(variants: DataFrame, order: str) -> DataFrame:
     return variants.groupBy(*key).agg(F.min_by(F.struct(*others), F.col(order)).alias("v")).select(*key, *[F.col("v")[c].alias(c) for c in others])
 
 
+def new_variants(variants: DataFrame, known: DataFrame, order: str) -> DataFrame:
+    """The first of each (seq_name, position, to_aa) that `known` lacks."""
+    return first_of_each(variants, order).join(known.select("seq_name", "position", "to_aa"), ["seq_name", "position", "to_aa"], "left_anti")
+
+
+def column_of(aligned: Column, position: Column) -> Column:
+    """Column, from 0, of the residue at a position from 1; null if the row has no such residue.
+
+    The row is cut at its gaps and their runs are walked once, however far the position is.
+    """
+    runs = F.split(F.regexp_replace(aligned, "(?<=-)(?=[^-])|(?<=[^-])(?=-)", " "), " ")
+    step = lambda s, r: F.when(s["col"].isNotNull(), s).when(r.startswith("-"), F.struct((s["at"] + F.length(r)).alias("at"), s["left"].alias("left"), s["col"].alias("col"))).otherwise(
+        F.struct((s["at"] + F.length(r)).alias("at"), (s["left"] - F.length(r)).alias("left"), F.when(s["left"] <= F.length(r), s["at"] + s["left"] - 1).alias("col"))
+    )
+    zero = F.struct(F.lit(0).alias("at"), position.cast("int").alias("left"), F.lit(None).cast("int").alias("col"))
+    return F.when(position >= 1, F.aggregate(runs, zero, step)["col"])
+
+
 def placed(variants: DataFrame, seqs: DataFrame) -> DataFrame:
     """Variants with aln_id, row_ix (-1 if the sequence is unknown), col and wild (null if out of range).
 
-    Of sequences of one name the last row counts. The place comes from the packed row, so no cells
-    are made: the shortest start of the row that holds so many residues.
+    Of sequences of one name the last row counts. The place comes from the packed row's runs of gaps.
     """
     last = seqs.groupBy("name").agg(F.max_by(F.struct("aln_id", "row_ix", "aligned"), F.col("row_ix")).alias("s"))
     found = variants.join(last, F.col("seq_name") == F.col("name"), "left").drop("name")
-    start = F.expr("regexp_extract(s.aligned, concat('^(?:-*+[^-]){', position, '}'), 0)")
-    at = F.length(start) - 1
+    found = found.withColumn("_at", column_of(F.col("s.aligned"), F.col("position")))
     return found.select(
         *variants.columns, F.col("s.aln_id").alias("aln_id"), F.coalesce("s.row_ix", F.lit(-1)).alias("row_ix"),
-        F.when(at >= 0, at).alias("col"), F.when(at >= 0, F.right(start, F.lit(1))).alias("wild"),
+        F.col("_at").alias("col"), F.when(F.col("_at").isNotNull(), F.substring("s.aligned", F.col("_at") + 1, F.lit(1))).alias("wild"),
     )
 
 
+def of_known_sequences(variants: DataFrame, seqs: DataFrame) -> DataFrame:
+    """The variants whose sequence exists: those that are scored."""
+    return variants.join(seqs.select(F.col("name").alias("seq_name")).distinct(), "seq_name", "left_semi")
+
+
+def saturation(residues: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Every canonical substitution at every residue (aln_id, row_ix, col, residue_ix), as placed variants."""
+    to = F.explode(F.array(*[F.lit(a) for a in CANONICAL])).alias("to_aa")
+    names = seqs.select("aln_id", "row_ix", "name")
+    df = residues.join(names, ["aln_id", "row_ix"]).select(F.col("name").alias("seq_name"), (F.col("residue_ix") + 1).cast("int").alias("position"), F.lit(None).cast("string").alias("from_aa"), "aln_id", "row_ix", "col", to)
+    return df.select("seq_name", "position", "from_aa", "to_aa", "aln_id", "row_ix", "col")
+
+
 def score_variants(sited: DataFrame, stats: DataFrame, track: DataFrame, scores: DataFrame) -> DataFrame:
     """(..., score 0..100, kind, confidence, band) of placed variants.
 

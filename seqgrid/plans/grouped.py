@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqgrid.functions.residues import CLASS_OF
-from seqgrid.operators import bootstrap, features, groups, motif, rows, trees, variants
+from seqgrid.operators import bootstrap, features, groups, identity, motif, rows, trees, variants
 from seqgrid.operators import cells as c
 from seqgrid.plans.bridge import SQL, sequences
 from seqgrid.plans.more import _CODE, _R, _TREE, _VARIANTS, _case, rounded, variant_rows
@@ -31,7 +31,7 @@ def clusters(spark: SparkSession, d: str) -> DataFrame:
 
 def partners(spark: SparkSession, d: str) -> DataFrame:
     s = sequences(spark, d)
-    return groups.best_partners(features.pair_identity(c.to_cells(s)), s)
+    return groups.best_partners(identity.pair_identity(s), s)
 
 
 def bootstrap_draws(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqgrid.functions.alphabet import ALPHABET, BACKGROUND, CANONICAL, HYDROPATHY, canonicalise, ungap
 from seqgrid.operators import cells as c
 from seqgrid.operators import features as f
-from seqgrid.operators import motif, profile, trees
+from seqgrid.operators import identity, motif, profile, trees
 from seqgrid.plans.bridge import SQL, sequences
 from seqgrid.sources.fasta import fasta_records
 
@@ -59,8 +59,8 @@ def queries() -> dict:
         "mutants": mutants,
         "features": lambda s, d: _rounded(f.features(sequences(s, d))),
         "features_z": lambda s, d: _rounded(f.z_scores(f.features(sequences(s, d)), "len", "hydro")),
-        "pair_identity": lambda s, d: _rounded(f.pair_identity(_cells(s, d))),
-        "identity_summary": lambda s, d: _rounded(f.identity_summary(f.pair_identity(_cells(s, d)))),
+        "pair_identity": lambda s, d: _rounded(identity.pair_identity(sequences(s, d))),
+        "identity_summary": lambda s, d: _rounded(identity.identity_summary(identity.pair_identity(sequences(s, d)))),
         "euclid_embeddings": lambda s, d: _rounded(f.euclidean(s.read.parquet(f"{d}/embeddings.parquet"))),
         "motif_hits": lambda s, d: motif.find_motifs(sequences(s, d), "A{1,2}N"),
         "node_info": lambda s, d: _rounded(trees.node_info(trees.geo_tree(s, d))),
@@ -75,7 +75,8 @@ _FEATURES = f"ft as (select aln_id, row_ix, length(replace(aligned, '-', '')) as
 _PAIRS = """pr as (
   select a.aln_id, a.row_ix as i, b.row_ix as j, sum((a.code = b.code)::int)::bigint as same, count(*) as compared
   from cells a join cells b on a.aln_id = b.aln_id and a.col = b.col and a.row_ix < b.row_ix where a.code > 0 and b.code > 0 group by all
-), pp as (select *, 100 * same / compared::double as pct from pr)"""
+), pp as (select a.aln_id, a.row_ix as i, b.row_ix as j, coalesce(same, 0) as same, coalesce(compared, 0) as compared, coalesce(100 * same / compared::double, 0) as pct
+  from seqs a join seqs b on a.aln_id = b.aln_id and a.row_ix < b.row_ix left join pr on pr.aln_id = a.aln_id and pr.i = a.row_ix and pr.j = b.row_ix)"""
 _R = lambda x: f"round({x}, 6) + 0.0::double"
 _STATS = """st as (select aln_id, col, sum(n)::bigint as total, max(n) as best, min(code) filter (n = m) as consensus
   from (select *, max(n) over (partition by aln_id, col) as m from counts) group by all)"""
@@ -115,7 +116,7 @@ join (select anc as node_id, count(*) as tips from up where node_id not in (sele
         "features": SQL + f", {_FEATURES} select aln_id, row_ix, ungapped, len, {_R('hydro')} as hydro from ft",
         "features_z": SQL + f", {_FEATURES} select aln_id, row_ix, {z('len')}, {z('hydro')} from ft window w as (partition by aln_id)",
         "pair_identity": SQL + f", {_PAIRS} select aln_id, i, j, same, compared, {_R('pct')} as pct from pp",
-        "identity_summary": SQL + f", {_PAIRS} select aln_id, {_R('avg(pct)')} as mean, {_R('stddev_pop(pct)')} as sd, {_R('min(pct)')} as min, {_R('max(pct)')} as max, count(*) as pairs from pp group by 1",
+        "identity_summary": SQL + f", {_PAIRS} select aln_id, {_R('avg(pct)')} as mean, {_R('stddev_pop(pct)')} as sd, {_R('min(pct)')} as min, {_R('max(pct)')} as max, count(*) as pairs, first(i order by pct, i, j) as min_i, first(j order by pct, i, j) as min_j, first(i order by pct desc, i, j) as max_i, first(j order by pct desc, i, j) as max_j from pp group by 1",
         "euclid_embeddings": f"select a.label, a.vec_id as i, b.vec_id as j, {_R('list_distance(a.embedding::double[], b.embedding::double[])')} as dist from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id",
         "motif_hits": SQL + r" , u as (select aln_id, row_ix, string_split(regexp_replace(replace(aligned, '-', ''), '(A{1,2}N)', '<\1>', 'g'), '<') as parts from seqs), x as (select *, unnest(range(2, len(parts) + 1)) as k from u)"
         " select aln_id, row_ix, k - 2 as match_ix, length(replace(array_to_string(parts[1:k - 1], ''), '>', '')) as u_start, length(replace(array_to_string(parts[1:k - 1], ''), '>', '')) + instr(parts[k], '>') - 1 as u_end from x",

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from seqgrid.operators.cells import to_cells
 from seqgrid.operators.motif import find_motifs
 from seqgrid.operators.profile import column_counts
+from seqgrid.operators.variants import placed, score_variants
 
 
 def stream_motifs(arriving: DataFrame, regex: str) -> DataFrame:
@@ -15,3 +16,8 @@ def stream_motifs(arriving: DataFrame, regex: str) -> DataFrame:
 def stream_profile(arriving: DataFrame) -> DataFrame:
     """Counts add up over batches: update or complete mode."""
     return column_counts(to_cells(arriving))
+
+
+def stream_variants(arriving: DataFrame, seqs: DataFrame, stats: DataFrame, track: DataFrame, scores: DataFrame) -> DataFrame:
+    """Arriving variants scored against a fixed alignment and its profile: stream-static joins, append mode."""
+    return score_variants(placed(arriving, seqs), stats, track, scores)

@@ -5,7 +5,7 @@ import math
 import pytest
 
 from seqgrid.functions.alphabet import canonicalise, normalise
-from seqgrid.operators import cells, features, motif, profile
+from seqgrid.operators import cells, features, identity, motif, profile
 from seqgrid.sources.fasta import read_fasta
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ def test_even_column_scores(spark):
 
 
 def test_identity(spark):
-    rows = features.pair_identity(cells.to_cells(seqs(spark, "ACDE", "ACDE", "FGHI", "ACHI"))).collect()
+    rows = identity.pair_identity(seqs(spark, "ACDE", "ACDE", "FGHI", "ACHI")).collect()
     assert {(r.i, r.j): r.pct for r in rows}[(0, 1)] == 100
     assert {(r.i, r.j): r.pct for r in rows}[(0, 3)] == 50
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 500_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -22,6 +22,13 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def parts(batches, rows: int = 2000):
+    """Arrow batches cut to that many rows at most, which bounds what a task holds of their words."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words under which near values part (splitmix64's finish)."""
     x = (x ^ (x >> np.uint64(30))) * _M2

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +77,22 @@ def drop_table(df: DataFrame) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+def extra_columns_apart(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage over documents whose further columns travel in one struct, so that their names clash with none."""
+
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        known = ("doc_id", "text", "lang", "source", "n_chars")
+        extra = [c for c in docs.columns if c not in known]
+        if not extra:
+            return stage(docs, *args, **options)
+        packed = F.struct(*[F.col(f"`{c}`") for c in extra]).alias("extra_columns")
+        out = stage(docs.select(*[c for c in docs.columns if c in known], packed), *args, **options)
+        return out.select(*[F.col(c) if c in known else F.col(f"extra_columns.`{c}`").alias(c) for c in docs.columns])
+
+    return run
+
+
 def word_array(text: Column) -> Column:
     """Words of the text (null: none)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), "")

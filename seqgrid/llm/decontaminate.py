@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqgrid.llm.common import LOWER, UPPER, ascii_lower, materialize, shifted, table
+from seqgrid.llm.common import LOWER, UPPER, ascii_lower, extra_columns_apart, materialize, shifted, table
 
 WINDOW = 10
 K = 5
@@ -193,6 +193,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@extra_columns_apart
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without a benchmark window, with their columns."""
     found = materialize(contamination(docs, items).select(F.col("doc_id").alias("_id"), F.col("k").alias("_k")), "leaks")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from seqgrid.llm.common import materialize, table, word_array
+from seqgrid.llm.common import extra_columns_apart, materialize, table, word_array
 
 WEIGHTS = (5, 2, 1)
 BUDGET_PERCENT = 150
@@ -164,6 +164,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@extra_columns_apart
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as the plan takes it."""
     sized = materialize(sizes(docs), "sizes")

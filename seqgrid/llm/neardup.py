@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from seqgrid.llm.common import materialize, table
+from seqgrid.llm.common import extra_columns_apart, materialize, table
 from seqgrid.llm.wordhash import WordHash, grams, mixed
 
 PERMUTATIONS = 64
@@ -244,6 +244,7 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+@extra_columns_apart
 def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The document of the smallest id of each component; of repeated rows of that id, one."""
     kept = _judged(docs, k, percent)

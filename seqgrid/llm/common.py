@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +41,37 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/seqgrid-{label}-{uuid.uuid4().hex}"
 
 
+#: Tables written within `temporary_tables`, innermost last.
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary_tables() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes what is materialized within, but for the tables passed to the function it yields."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _SCOPES.append([])
+    try:
+        yield keep
+    finally:
+        made = _SCOPES.pop()
+        for df in made:
+            if not any(df is k for k in kept):
+                drop_table(df)
+        if _SCOPES:
+            _SCOPES[-1] += kept
+
+
+def release(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
@@ -51,6 +84,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from seqgrid.llm.common import extra_columns_apart, materialize, table
+from seqgrid.llm.common import extra_columns_apart, materialize, release, table, temporary_tables
 from seqgrid.llm.wordhash import WordHash, grams, mixed
 
 PERMUTATIONS = 64
@@ -247,9 +247,12 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @extra_columns_apart
 def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The document of the smallest id of each component; of repeated rows of that id, one."""
-    kept = _judged(docs, k, percent)
-    # By id and text, as rows of other texts may share the id, null above all.
-    drop = materialize(kept.where("not kept").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct(), "copies")
+    with temporary_tables() as keep:
+        # By id and text, as rows of other texts may share the id, null above all.
+        copies = _judged(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
+        drop = keep(materialize(copies, "copies"))
+    del copies
+    release(docs)
     left = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("_id")) & (_digest() == F.col("_t")), "left_anti")
     again = materialize(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "repeats")
     if again.isEmpty():

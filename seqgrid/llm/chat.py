@@ -6,6 +6,10 @@ mask covers the assistant's texts and their end marks. The result is a row per t
 perspective, with the place of its text and of its mask in the rendered dialogue, so a
 conversation of any length is never held in one row; `render` joins short ones to strings.
 
+A text can't forge a turn: of every `<` that only backslashes part from a `|`, one backslash more parts
+them, so no control mark is left in it, and taking one away gives the text back (`unescaped`). Names are
+escaped likewise, and their line breaks become spaces, so a name stays in the turn's first line.
+
 Places are running sums over a conversation's turns in two levels (blocks of BLOCK places in turn
 order, then turns of a block), so that a conversation with most of the rows is spread.
 
@@ -17,7 +21,7 @@ the system has no perspective; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,6 +31,16 @@ START, MIDDLE, STOP = "<|im_start|>", "\n", "<|im_end|>\n"
 BLOCK = 256
 
 
+def escaped(text: Column) -> Column:
+    """The text without control marks."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
+
+
+def unescaped(text: Column) -> Column:
+    """What `escaped` was given."""
+    return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
+
+
 def rotate(turns: DataFrame) -> DataFrame:
     """(conv_id, perspective, turn_ix, turn, speaker, role, content, seg_from, seg_to, mask_from, mask_to)."""
     role = F.coalesce(F.trim("role"), F.lit("unknown"))
@@ -44,11 +58,12 @@ def rotate(turns: DataFrame) -> DataFrame:
     t = t.withColumn("turn_ix", F.col("ix") + F.col("skip")).drop("ix", "skip")
     both = t.join(people, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
     mine = F.col("speaker") == F.col("perspective")
-    label = F.when(F.col("speaker") == "system", F.lit("system")).when(mine, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), "speaker"))
+    name = escaped(F.translate("speaker", "\r\n", "  "))
+    label = F.when(F.col("speaker") == "system", F.lit("system")).when(mine, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), name))
     head = F.concat(F.lit(START), label, F.lit(MIDDLE))
     both = both.select(
         "conv_id", "perspective", "turn_ix", "turn", "speaker", "block", label.alias("role"),
-        F.concat(head, "text", F.lit(STOP)).alias("content"), F.length(head).cast("long").alias("head"), mine.alias("mine"),
+        F.concat(head, escaped(F.col("text")), F.lit(STOP)).alias("content"), F.length(head).cast("long").alias("head"), mine.alias("mine"),
     )
     key = ["conv_id", "perspective", "block"]
     here = W.partitionBy(*key).orderBy("turn_ix").rowsBetween(W.unboundedPreceding, 0)
@@ -79,16 +94,18 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations"))
 
 
+_ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
+_NAME = _ESCAPED.format("translate(speaker, chr(13) || chr(10), '  ')")
 SQL = f"""
 with t as (select conv_id, turn, coalesce(trim(role), 'unknown') as speaker, coalesce(text, '') as text from conversations),
 o as (select *, row_number() over (partition by conv_id order by turn nulls first, speaker, text) - 1 as turn_ix from t),
 p as (select distinct conv_id as pc, speaker as perspective from t where speaker <> 'system'),
 b as (
-  select *, case when speaker = 'system' then 'system' when speaker = perspective then 'assistant' else 'user name=' || speaker end as role
+  select *, case when speaker = 'system' then 'system' when speaker = perspective then 'assistant' else 'user name=' || {_NAME} end as role
   from o join p on conv_id is not distinct from pc
 ),
 c as (select *, '{START}' || role || chr(10) as head from b),
-d as (select *, head || text || '<|im_end|>' || chr(10) as content from c),
+d as (select *, head || {_ESCAPED.format('text')} || '<|im_end|>' || chr(10) as content from c),
 e as (select *, sum(length(content)) over (partition by conv_id, perspective order by turn_ix)::bigint as seg_to from d)
 select conv_id, perspective, turn_ix, turn, speaker, role, content, seg_to - length(content) as seg_from, seg_to,
   case when speaker = perspective then seg_to - length(content) + length(head) end as mask_from,

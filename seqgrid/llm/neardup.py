@@ -18,7 +18,7 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -184,10 +184,10 @@ def _left_open(star: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
     return direct.unionByName(shared).distinct()
 
 
-def classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, t, n, c) per row, (c, component_id) per class)."""
+def classes(docs: DataFrame, k: int, percent: int, sign: Callable = _sign) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, t, n, c) per row, (c, component_id) per class); `sign` gives sets' digests and band keys."""
     signed = materialize(
-        docs.select("doc_id", "text", _digest().alias("t")).mapInArrow(_sign(k), "doc_id bigint, t string, n bigint, c binary, keys array<bigint>"),
+        docs.select("doc_id", "text", _digest().alias("t")).mapInArrow(sign(k), "doc_id bigint, t string, n bigint, c binary, keys array<bigint>"),
         "signatures",
     )
     per_class = (
@@ -220,14 +220,14 @@ def classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     return signed.select("doc_id", "t", "n", "c"), named.join(ids, "comp").select("c", "component_id")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sign: Callable = _sign) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row."""
-    return _judged(docs, k, percent).drop("t")
+    return _judged(docs, k, percent, sign).drop("t")
 
 
-def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _judged(docs: DataFrame, k: int, percent: int, sign: Callable = _sign) -> DataFrame:
     """near_duplicates with t, the digest of the row's text."""
-    rows, named = classes(docs, k, percent)
+    rows, named = classes(docs, k, percent, sign)
     named = materialize(named, "components")
     out = rows.join(named, "c", "left")
     component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -1,7 +1,7 @@
 """Queries of the training-data operators, and SQL with the same results where SQL can say it."""
 
 import corpus_pipeline
-from seqgrid.llm import chat, decontaminate, licenses, manifest, mixing, neardup, passages, pitman_yor, quality, substrings, warc
+from seqgrid.llm import alignment, chat, decontaminate, fingerprints, licenses, manifest, mixing, neardup, passages, pitman_yor, quality, substrings, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,8 @@ def queries() -> dict:
         "op8_passages": passages.op8_passages,
         "op9_suffix": substrings.op9_suffix,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_alignment": alignment.op11_alignment,
+        "op12_fingerprints": fingerprints.op12_fingerprints,
         "op13_manifest": manifest.op13_manifest,
         "pipeline": corpus_pipeline.run,
     }

@@ -23,17 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made for local masters that name none, by application.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 
-    A local master may leave it unset (tests): a temporary folder is made and set then.
+    A local master may leave it unset (tests): a temporary folder is made for the application then. The
+    setting itself is Spark's alone, and stays as it is.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _LOCAL_DIRS.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
+        _LOCAL_DIRS[context.applicationId] = path
     return path.rstrip("/")
 
 

@@ -46,7 +46,6 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 SHARED = 3
-LONG_WORD = 7
 GAP = 12
 MIN_MATCH = 0.8
 MIN_SAME = 5
@@ -77,11 +76,10 @@ class _Library:
         for n, w in self.words.items():
             for j, r in _runs(w):
                 self.owners.setdefault(r, []).append((n, j))
-        # A block has a run with a long word; a text without any of those words has none.
+        # A block has a run, and with it the run's longest word; a text without any of those words has no block.
         self.hints = ahocorasick.Automaton()
         for r in self.owners:
-            if len(max(r, key=len)) >= LONG_WORD:
-                self.hints.add_word(max(r, key=len), True)
+            self.hints.add_word(max(r, key=len), True)
         self.hints.make_automaton()
         self.alone = zstandard.ZstdCompressor(level=3)
         self.given = {n: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n, t in templates.items() if t}

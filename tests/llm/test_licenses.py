@@ -70,3 +70,9 @@ def scanned(text):
 
     batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})
     return [x for b in licenses._scan(licenses.TEMPLATES)(iter([batch])) for x in b.to_pylist()]
+
+
+def test_template_of_short_words():
+    words = "we do not let you use it for any of the jobs that we ask of you"
+    found = licenses._Library({"short": words}).found(f"xx yy\n# {words}\nzz")
+    assert [(r[2], r[5]) for r in found] == [("short", 17)]

@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqgrid.operators.trees import walk_down
+from seqgrid.operators.trees import spans
 
 _TOKEN = r"'(?:[^']|'')*'|[(),;]|:[-0-9.eE+]*|[^:,();']+"
-_LAST = 2**31 - 1
 
 
 def _plain(text):
@@ -69,18 +68,18 @@ def _number(x):
 
 
 def format_newick(nodes: DataFrame, replicates: int = 0) -> DataFrame:
-    """(tree_id, text) of node tables. A node opens at its path of child numbers and closes behind all paths below."""
-    paths = walk_down(nodes)
+    """(tree_id, text) of node tables. A node opens at its place in the tree's order; an inner one closes behind
+    the last node below it, inner brackets first."""
+    df = spans(nodes)
+    df = df.withColumn("nth", F.row_number().over(W.partitionBy("tree_id", "parent_id").orderBy("child_ix")))
     quoted = F.concat(F.lit("'"), F.replace("name", F.lit("'"), F.lit("''")), F.lit("'"))
     name = F.coalesce(F.when(F.col("name").rlike(r"[\s(),:;']"), quoted).otherwise(F.col("name")), F.lit(""))
     tail = F.when(F.col("parent_id").isNull(), F.lit(";")).otherwise(F.concat(F.lit(":"), _number(F.col("length"))))
-    comma = F.when(F.col("child_ix") > 0, ",").otherwise("")
+    comma = F.when((F.col("nth") > 1) & F.col("parent_id").isNotNull(), ",").otherwise("")
     support = F.when(F.col("support").isNotNull() & F.col("parent_id").isNotNull(), F.floor(F.col("support") * (replicates or 100) + 0.5).cast("string")).otherwise("")
-    inner = nodes.select("tree_id", F.col("parent_id").alias("node_id"), F.lit(True).alias("inner")).where("node_id is not null").distinct()
-    df = paths.join(inner, ["tree_id", "node_id"], "left").withColumn("tail", tail).withColumn("comma", F.when(F.col("parent_id").isNull(), "").otherwise(comma))
-    token = lambda p, t: F.struct(p.alias("path"), t.alias("text"))
-    closing = token(F.array_append("path", F.lit(_LAST)), F.concat(F.lit(")"), support, "tail"))
-    both = F.when(F.col("inner"), F.array(token(F.col("path"), F.concat("comma", F.lit("("))), closing)).otherwise(F.array(token(F.col("path"), F.concat("comma", name, "tail"))))
-    each = df.select("tree_id", F.explode(both).alias("x"))
+    token = lambda at, closes, inmost, text: F.struct(at.alias("at"), F.lit(closes).alias("closes"), inmost.alias("inmost"), text.alias("text"))
+    opening = token(F.col("enter"), 0, F.col("enter"), F.concat(comma, F.when(F.col("leaf"), F.concat(name, tail)).otherwise("(")))
+    closing = token(F.col("enter") + F.col("size") - 1, 1, -F.col("enter"), F.concat(F.lit(")"), support, tail))
+    each = df.select("tree_id", F.explode(F.when(F.col("leaf"), F.array(opening)).otherwise(F.array(opening, closing))).alias("x"))
     parts = F.sort_array(F.collect_list("x"))
     return each.groupBy("tree_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"))

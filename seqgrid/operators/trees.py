@@ -1,11 +1,30 @@
-"""Trees as node tables (tree_id, node_id, parent_id, name, length): closure, metrics."""
+"""Trees as node tables (tree_id, node_id, parent_id, child_ix, name, length, support), many at once.
 
-from pyspark.sql import DataFrame, SparkSession
+Nodes point at an ancestor; each round sends the pointers on to what their ancestors point at, so their
+reach doubles and the rounds grow with the logarithm of the deepest tree. Sums over a node's way to the
+root and over its subtree grow in the same rounds. No table of all ancestors is made, and nothing recurs.
+
+tree_id may be left out where there is one tree; it is never null. Children are in the order of child_ix,
+or of node_id where that column is absent. A node whose parent isn't in the table is a root.
+"""
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqgrid.functions.lineage import cut
 
+#: Aggregate of what lies below a node, and how it joins the node's own value.
+_JOINED = {
+    "sum": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))),
+    "xor": (F.bit_xor, lambda a, b: a.bitwiseXOR(F.coalesce(b, F.lit(0).cast("long")))),
+    "max": (F.max, F.greatest),
+}
+#: Rounds after which parents can only go round in a circle.
+_MOST_ROUNDS = 40
+
 
 def geo_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root, regions, nations and suppliers as one tree."""
@@ -20,88 +39,192 @@ def geo_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def closure(nodes: DataFrame) -> DataFrame:
-    """(anc, node_id, depth, is_leaf) with the length below the root; a recursive common table."""
-    nodes.createOrReplaceTempView("_tree_nodes")
-    return nodes.sparkSession.sql(
-        "with recursive up(node_id, anc, dist) as ("
-        " select node_id, node_id, cast(0 as double) from _tree_nodes"
-        " union all select u.node_id, n.parent_id, u.dist + n.length from up u join _tree_nodes n on u.anc = n.node_id where n.parent_id is not null)"
-        " select node_id, anc, dist from up"
-    )
+def _tree(nodes: DataFrame) -> list[str]:
+    return [c for c in ("tree_id",) if c in nodes.columns]
+
+
+def _place(nodes: DataFrame) -> str:
+    return "child_ix" if "child_ix" in nodes.columns else "node_id"
+
+
+def lift(nodes: DataFrame, above: dict[str, Column] | None = None, below: dict[str, tuple[Column, str]] | None = None, with_jumps: bool = False) -> tuple[DataFrame, list[DataFrame]]:
+    """((tree_id, node_id, sums), jumps): sums over each node's way to the root and over its subtree.
+
+    above: name -> a node's own value, added up over the node and all its ancestors. below: name -> (own
+    value, kind), over the node and all below it, kind being sum, xor or max. jumps[k] (tree_id, node_id,
+    anc) holds the ancestors 2 ** k steps up of the nodes that have one, if they are asked for.
+    """
+    above, below = above or {}, below or {}
+    tree = _tree(nodes)
+    key = [*tree, "node_id"]
+    own = [v.alias(c) for c, v in above.items()] + [v.alias(c) for c, (v, _) in below.items()]
+    state = cut(nodes.select(*key, F.col("parent_id").alias("anc"), *own))
+    jumps: list[DataFrame] = []
+    for _ in range(_MOST_ROUNDS):
+        met = state.where("anc is not null")
+        if met.isEmpty():
+            return state.drop("anc"), jumps
+        hop = state.select(*tree, F.col("node_id").alias("anc"), F.col("anc").alias("_anc"), F.lit(True).alias("_known"), *[F.col(c).alias(f"_{c}") for c in above])
+        df = state.join(hop, [*tree, "anc"], "left")
+        if with_jumps:
+            jumps.append(cut(df.where("_known").select(*key, "anc")))
+        grown = [(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in above]
+        if below:
+            under = met.groupBy(*tree, F.col("anc").alias("node_id")).agg(*[_JOINED[kind][0](c).alias(f"_{c}") for c, (_, kind) in below.items()])
+            df = df.join(under, key, "left")
+            grown += [_JOINED[kind][1](F.col(c), F.col(f"_{c}")).alias(c) for c, (_, kind) in below.items()]
+        state = cut(df.select(*key, F.col("_anc").alias("anc"), *grown))
+    raise ValueError("nodes are their own ancestors")
+
+
+def with_leaf(nodes: DataFrame) -> DataFrame:
+    """Nodes with `leaf`, whether no node has them as parent."""
+    key = [*_tree(nodes), "node_id"]
+    inner = nodes.where("parent_id is not null").select(*_tree(nodes), F.col("parent_id").alias("node_id"), F.lit(True).alias("_inner")).distinct()
+    return nodes.join(inner, key, "left").withColumn("leaf", F.col("_inner").isNull()).drop("_inner")
+
+
+def _length() -> Column:
+    return F.coalesce("length", F.lit(0.0))
 
 
 def node_info(nodes: DataFrame) -> DataFrame:
-    """(node_id, depth, tips): length from the root and leaves under a node."""
-    up = closure(nodes)
-    leaves = nodes.join(nodes.select(F.col("parent_id").alias("p")), F.col("node_id") == F.col("p"), "left_anti").select("node_id")
-    depth = up.groupBy("node_id").agg(F.max("dist").alias("depth"))
-    tips = up.join(leaves, "node_id").groupBy(F.col("anc").alias("node_id")).agg(F.count("*").alias("tips"))
-    return depth.join(tips, "node_id")
+    """(tree_id, node_id, depth, tips, support): length from the root, its own included, and leaves under a node."""
+    found, _ = lift(with_leaf(nodes), {"depth": _length()}, {"tips": (F.col("leaf").cast("long"), "sum")})
+    if "support" in nodes.columns:
+        found = found.join(nodes.select(*_tree(nodes), "node_id", "support"), [*_tree(nodes), "node_id"])
+    return found
 
 
 def tree_stats(nodes: DataFrame) -> DataFrame:
-    """One row: leaves, total and mean branch length without the root's, height."""
-    branch = F.when(F.col("parent_id").isNotNull(), F.col("length"))
-    size = nodes.agg(F.sum(branch).alias("total"), F.avg(branch).alias("mean_branch"))
-    inner = nodes.select(F.col("parent_id").alias("node_id")).where("node_id is not null").distinct()
-    leaves = nodes.join(inner, "node_id", "left_anti").agg(F.count("*").alias("leaves"))
-    height = node_info(nodes).agg(F.max("depth").alias("height"))
-    return size.join(leaves, F.lit(True)).join(height, F.lit(True))
+    """(tree_id, total, mean_branch, leaves, height) of each tree, the root's branch left out; 0 without branches."""
+    tree = _tree(nodes)
+    edge = F.when(F.col("parent_id").isNotNull(), _length())
+    nodes = with_leaf(nodes)
+    depth, _ = lift(nodes, {"depth": F.coalesce(edge, F.lit(0.0))})
+    size = [F.coalesce(F.sum(edge), F.lit(0.0)).alias("total"), F.coalesce(F.avg(edge), F.lit(0.0)).alias("mean_branch"), F.sum(F.col("leaf").cast("long")).alias("leaves")]
+    return nodes.join(depth, [*tree, "node_id"]).groupBy(*tree).agg(*size, F.max("depth").alias("height"))
+
+
+def lowest_common(nodes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """((pairs, lca, level_a, level_b, level_lca), (node, depth, level), jumps) of pairs (tree_id, a, b).
+
+    The deeper node of a pair climbs to the other's level, then both climb by halving steps as long as
+    they differ. lca is null where a node is unknown or the two have no common ancestor.
+    """
+    tree = _tree(nodes)
+    found, jumps = lift(nodes, {"depth": _length(), "level": F.lit(1).cast("long")}, with_jumps=True)
+    level = lambda node, name: found.select(*tree, F.col("node_id").alias(node), F.col("level").alias(name))
+    pairs = pairs.select(*tree, "a", "b").distinct()
+    df = pairs.join(level("a", "level_a"), [*tree, "a"]).join(level("b", "level_b"), [*tree, "b"])
+    first = F.col("level_a") >= F.col("level_b")
+    df = df.select(*tree, "a", "b", "level_a", "level_b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("y"), F.abs(F.col("level_a") - F.col("level_b")).alias("gap"))
+    step = lambda k, node: jumps[k].select(*tree, F.col("node_id").alias(node), F.col("anc").alias(f"_{node}"))
+    for k in reversed(range(len(jumps))):
+        far = F.col("gap") >= 2**k
+        df = df.join(step(k, "x"), [*tree, "x"], "left").withColumn("x", F.when(far, F.col("_x")).otherwise(F.col("x"))).withColumn("gap", F.when(far, F.col("gap") - 2**k).otherwise(F.col("gap"))).drop("_x")
+        df = cut(df)
+    for k in reversed(range(len(jumps))):
+        df = df.join(step(k, "x"), [*tree, "x"], "left").join(step(k, "y"), [*tree, "y"], "left")
+        apart = F.coalesce(F.col("_x") != F.col("_y"), F.lit(False))
+        df = cut(df.withColumns({"x": F.when(apart, F.col("_x")).otherwise(F.col("x")), "y": F.when(apart, F.col("_y")).otherwise(F.col("y"))}).drop("_x", "_y"))
+    df = df.join(step(0, "x"), [*tree, "x"], "left") if jumps else df.withColumn("_x", F.lit(None))
+    df = df.withColumn("lca", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(F.col("_x")))
+    df = df.drop("x", "y", "_x", "gap").join(level("lca", "level_lca"), [*tree, "lca"], "left")
+    return df, found, jumps
 
 
 def patristic(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, dist) of pairs of nodes: over common ancestors the shortest way; null for unknown nodes."""
-    up = closure(nodes)
-    a = up.select(F.col("node_id").alias("a"), "anc", F.col("dist").alias("da"))
-    b = up.select(F.col("node_id").alias("b"), "anc", F.col("dist").alias("db"))
-    way = pairs.join(a, "a").join(b, ["b", "anc"]).groupBy("a", "b").agg(F.min(F.col("da") + F.col("db")).alias("dist"))
-    return pairs.join(way, ["a", "b"], "left")
+    """(tree_id, a, b, dist) of pairs of nodes: branches between them through their last common ancestor.
+
+    0 for a node with itself, null for unknown nodes.
+    """
+    tree = _tree(nodes)
+    met, found, _ = lowest_common(nodes, pairs)
+    for side in ("a", "b", "lca"):
+        met = met.join(found.select(*tree, F.col("node_id").alias(side), F.col("depth").alias(f"d_{side}")), [*tree, side], "left")
+    way = met.select(*tree, "a", "b", (F.col("d_a") + F.col("d_b") - 2 * F.col("d_lca")).alias("dist"))
+    out = pairs.select(*tree, "a", "b").join(way, [*tree, "a", "b"], "left")
+    return out.withColumn("dist", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("dist")))
+
+
+def paths(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(tree_id, a, b, node_id): nodes from a to b through their last common ancestor, all three included.
+
+    A row for each step from either end finds its node by the jumps whose sum is the step.
+    """
+    tree = _tree(nodes)
+    met, _, jumps = lowest_common(nodes, pairs)
+    met = met.where("lca is not null")
+    up = lambda end, last: met.select(*tree, "a", "b", F.col(end).alias("node_id"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("left"))
+    a_steps, b_steps = F.col("level_a") - F.col("level_lca"), F.col("level_b") - F.col("level_lca")
+    steps = up("a", a_steps).unionByName(up("b", b_steps))
+    for k, jump in enumerate(jumps):
+        taken = F.shiftright("left", k).bitwiseAND(F.lit(1).cast("long")) == 1
+        steps = cut(steps.join(jump, [*tree, "node_id"], "left").withColumn("node_id", F.when(taken, F.col("anc")).otherwise(F.col("node_id"))).drop("anc"))
+    return steps.drop("left").distinct()
 
 
 def ladderize(nodes: DataFrame, largest_first: bool = True) -> DataFrame:
-    """(node_id, parent_id, child_ix): children by their tips, then by node_id."""
+    """(tree_id, node_id, parent_id, child_ix): children by their tips, in their order where equal."""
+    tree = _tree(nodes)
+    found, _ = lift(with_leaf(nodes), below={"tips": (F.col("leaf").cast("long"), "sum")})
     tips = F.col("tips").desc() if largest_first else F.col("tips")
-    order = W.partitionBy("parent_id").orderBy(tips, "node_id")
-    return nodes.join(node_info(nodes), "node_id").where("parent_id is not null").select("node_id", "parent_id", (F.row_number().over(order) - 1).alias("child_ix"))
+    order = W.partitionBy(*tree, "parent_id").orderBy(tips, _place(nodes))
+    df = nodes.join(found, [*tree, "node_id"]).where("parent_id is not null")
+    return df.select(*tree, "node_id", "parent_id", (F.row_number().over(order) - 1).alias("child_ix"))
 
 
-def swapped(children: DataFrame, node_id: str) -> DataFrame:
-    """Children (node_id, parent_id, child_ix) with the order under one node reversed."""
-    last = F.max("child_ix").over(W.partitionBy("parent_id"))
-    return children.withColumn("child_ix", F.when(F.col("parent_id") == node_id, last - F.col("child_ix")).otherwise(F.col("child_ix")))
+def swapped(children: DataFrame, node_id: object, tree_id: object = None) -> DataFrame:
+    """Children (tree_id, node_id, parent_id, child_ix) with the order under one node of a tree reversed."""
+    tree = _tree(children)
+    last = F.max("child_ix").over(W.partitionBy(*tree, "parent_id"))
+    at = F.col("parent_id") == F.lit(node_id)
+    if tree_id is not None:
+        at &= F.col("tree_id") == F.lit(tree_id)
+    return children.withColumn("child_ix", F.when(at, last - F.col("child_ix")).otherwise(F.col("child_ix")))
 
 
-def reroot(nodes: DataFrame, node_id: str) -> DataFrame:
-    """(node_id, parent_id, length) with the edges from a node to the root turned; lengths stay on edges."""
-    path = closure(nodes).where(F.col("node_id") == node_id).select(F.col("anc").alias("node_id"))
-    on_path = nodes.join(path, "node_id")
-    turned = on_path.where("parent_id is not null").select(F.col("parent_id").alias("node_id"), F.col("node_id").alias("parent_id"), "length")
-    top = nodes.where(F.col("node_id") == node_id).select("node_id", F.lit(None).cast("string").alias("parent_id"), F.lit(0.0).alias("length"))
-    rest = nodes.join(path, "node_id", "left_anti").select("node_id", "parent_id", "length")
-    return rest.unionByName(turned).unionByName(top)
+def in_order(nodes: DataFrame, children: DataFrame) -> DataFrame:
+    """Nodes with the child_ix of children, as `ladderize` and `swapped` give them."""
+    tree = _tree(nodes)
+    return nodes.drop("child_ix").join(children.select(*tree, "node_id", "child_ix"), [*tree, "node_id"], "left").withColumn("child_ix", F.coalesce("child_ix", F.lit(0)))
 
 
-def leaf_ranks(nodes: DataFrame) -> DataFrame:
-    """(node_id, leaf_rank): leaves in the tree's order, children by node_id.
+def reroot(nodes: DataFrame, at: object) -> DataFrame:
+    """(tree_id, node_id, parent_id, length) with the edges from a node to the root turned; lengths stay on edges.
 
-    A leaf follows the tips of all earlier siblings on its way to the root, so that no order over all
-    leaves is needed.
+    at: a node, or a table (tree_id, node_id) with a node for each tree to turn; other trees stay.
     """
-    info = nodes.join(node_info(nodes).select("node_id", "tips"), "node_id")
-    earlier = W.partitionBy("parent_id").orderBy("node_id").rowsBetween(W.unboundedPreceding, -1)
-    before = info.select(F.col("node_id").alias("anc"), F.coalesce(F.sum("tips").over(earlier), F.lit(0)).alias("before"))
-    leaves = nodes.join(nodes.select(F.col("parent_id").alias("p")), F.col("node_id") == F.col("p"), "left_anti").select("node_id")
-    return closure(nodes).join(leaves, "node_id").join(before, "anc").groupBy("node_id").agg(F.sum("before").alias("leaf_rank"))
+    tree = _tree(nodes)
+    key = [*tree, "node_id"]
+    chosen = at.select(*key) if isinstance(at, DataFrame) else nodes.where(F.col("node_id") == F.lit(at)).select(*key)
+    marked = nodes.join(chosen.withColumn("_at", F.lit(1)), key, "left")
+    found, _ = lift(marked, below={"way": (F.coalesce("_at", F.lit(0)), "max")})
+    df = marked.join(found, key)
+    turned = df.where("way = 1 and parent_id is not null").select(*tree, F.col("parent_id").alias("node_id"), F.col("node_id").alias("parent_id"), "length")
+    top = df.where("_at = 1").select(*tree, "node_id", F.lit(None).cast(dict(nodes.dtypes)["parent_id"]).alias("parent_id"), F.lit(0.0).alias("length"))
+    return df.where("way = 0").select(*tree, "node_id", "parent_id", "length").unionByName(turned).unionByName(top)
+
+
+def spans(nodes: DataFrame) -> DataFrame:
+    """Nodes with leaf, size, tips, enter and leaf_rank: the nodes and leaves of its subtree, and how many
+    nodes and leaves come before it in its tree's order. A subtree's leaves are leaf_rank to leaf_rank + tips."""
+    tree = _tree(nodes)
+    key = [*tree, "node_id"]
+    nodes = with_leaf(nodes)
+    found, _ = lift(nodes, below={"size": (F.lit(1).cast("long"), "sum"), "tips": (F.col("leaf").cast("long"), "sum")})
+    nodes = nodes.join(found, key)
+    earlier = W.partitionBy(*tree, "parent_id").orderBy(_place(nodes)).rowsBetween(W.unboundedPreceding, -1)
+    before = lambda c: F.when(F.col("parent_id").isNotNull(), F.coalesce(F.sum(c).over(earlier), F.lit(0))).otherwise(F.lit(0))
+    placed = cut(nodes.withColumn("_nodes", before("size") + F.col("parent_id").isNotNull().cast("long")).withColumn("_leaves", before("tips")))
+    order, _ = lift(placed, {"enter": F.col("_nodes"), "leaf_rank": F.col("_leaves")})
+    return placed.drop("_nodes", "_leaves").join(order, key)
 
 
-def paths(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, node_id): nodes from a to b through their last common ancestor, all three included."""
-    up = closure(nodes)
-    side = lambda s: up.select(F.col("node_id").alias(s), "anc", F.col("dist").alias(f"d{s}"))
-    top = pairs.join(side("a"), "a").join(side("b"), ["b", "anc"]).groupBy("a", "b").agg(F.min("da").alias("ta"), F.min("db").alias("tb"))
-    legs = top.join(side("a"), "a").where("da <= ta").select("a", "b", "anc").unionByName(top.join(side("b"), "b").where("db <= tb").select("a", "b", "anc"))
-    return legs.distinct().withColumnRenamed("anc", "node_id")
+def leaf_ranks(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node_id, leaf_rank): leaves in their tree's order."""
+    return spans(nodes).where("leaf").select(*_tree(nodes), "node_id", "leaf_rank")
 
 
 def supported(nodes: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -109,54 +232,63 @@ def supported(nodes: DataFrame, threshold: float = 0.8) -> DataFrame:
     return nodes.withColumn("strong", F.col("support") >= min(max(threshold, 0.0), 1.0))
 
 
-def walk_down(nodes: DataFrame) -> DataFrame:
-    """Nodes of many trees with `path`, the child numbers from the root to the node.
+def _names_at(at: DataFrame, nodes: DataFrame, ranks: Callable[[], Column], name: str) -> DataFrame:
+    """(tree_id, node_id, name): for each row of at the sorted names of the leaves of its ranks."""
+    leaves = nodes.where("leaf").select("tree_id", F.col("leaf_rank").alias("_rank"), "name")
+    each = at.select("tree_id", "node_id", F.explode(ranks()).alias("_rank"))
+    return each.join(leaves, ["tree_id", "_rank"]).groupBy("tree_id", "node_id").agg(F.sort_array(F.collect_list("name")).alias(name))
 
-    The nodes are written first, as each level of the recursion reads them again.
-    """
-    nodes = cut(nodes)
-    nodes.createOrReplaceTempView("_walk_nodes")
-    found = nodes.sparkSession.sql(
-        "with recursive down(tree_id, node_id, path) max recursion level 1000000 as ("
-        " select tree_id, node_id, array(0) from _walk_nodes where parent_id is null"
-        " union all select n.tree_id, n.node_id, array_append(d.path, n.child_ix) from down d join _walk_nodes n on n.tree_id = d.tree_id and n.parent_id = d.node_id)"
-        " select tree_id, node_id, path from down"
-    )
-    return nodes.join(found, ["tree_id", "node_id"])
+
+def _range(start: Column, end: Column) -> Column:
+    """Whole numbers from start to before end."""
+    return F.when(start < end, F.sequence(start, end - 1)).otherwise(F.array().cast("array<bigint>"))
 
 
 def clades(nodes: DataFrame) -> DataFrame:
-    """(tree_id, node_id, leaves): the sorted leaf names under each inner node.
+    """(tree_id, node_id, leaves): the sorted leaf names under each inner node."""
+    df = cut(spans(nodes))
+    return _names_at(df.where("not leaf"), df, lambda: _range(F.col("leaf_rank"), F.col("leaf_rank") + F.col("tips")), "leaves")
 
-    A node's leaves are those whose path starts with its own, met by exploding each leaf's path.
+
+def splits(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node_id, split, leaves): each inner branch's side without the first leaf by name, as 128 bits.
+
+    A leaf is a random number of its name (and of how many leaves of that name come before it); a side is
+    the sum of its leaves bit by bit. So sides are compared as numbers, and a node never lists its leaves.
+    Trivial splits are left out. Of nodes with one split, as both children of a root, the later one keeps it.
     """
-    at = walk_down(nodes).select("tree_id", "node_id", "path", "name")
-    inner = nodes.select("tree_id", F.col("parent_id").alias("node_id")).where("node_id is not null").distinct()
-    leaf = at.join(inner, ["tree_id", "node_id"], "left_anti")
-    above = leaf.select("tree_id", "name", F.explode(F.expr("transform(sequence(1, greatest(size(path) - 1, 1)), k -> slice(path, 1, k))")).alias("path"))
-    met = at.join(inner, ["tree_id", "node_id"]).select("tree_id", "node_id", "path").join(above, ["tree_id", "path"])
-    return met.groupBy("tree_id", "node_id").agg(F.sort_array(F.collect_list("name")).alias("leaves"))
+    nodes = with_leaf(nodes)
+    nth = F.row_number().over(W.partitionBy("tree_id", "leaf", "name").orderBy("node_id"))
+    nodes = nodes.select("tree_id", "node_id", "parent_id", "leaf", "name", F.when(F.col("leaf"), nth).alias("_nth"))
+    mark = lambda seed: F.when(F.col("leaf"), F.xxhash64("name", "_nth", F.lit(seed))).otherwise(F.lit(0).cast("long"))
+    name = F.struct(F.col("name").isNotNull(), "name", "_nth")
+    nodes = nodes.withColumn("_high", mark(1)).withColumn("_low", mark(2)).withColumn("_name", name)
+    whole = nodes.where("leaf").groupBy("tree_id").agg(F.bit_xor("_high").alias("_all_high"), F.bit_xor("_low").alias("_all_low"), F.count("*").alias("_n"), F.min("_name").alias("_least"))
+    nodes = cut(nodes.join(whole, "tree_id"))
+    first = (F.col("leaf") & (F.col("_name") == F.col("_least"))).cast("int")
+    below = {"high": (F.col("_high"), "xor"), "low": (F.col("_low"), "xor"), "tips": (F.col("leaf").cast("long"), "sum"), "first": (first, "max")}
+    found, _ = lift(nodes, below=below)
+    df = found.join(nodes.where("not leaf").select("tree_id", "node_id", "_all_high", "_all_low", "_n"), ["tree_id", "node_id"]).where("tips between 2 and _n - 2")
+    side = lambda c: F.when(F.col("first") == 1, F.col(c).bitwiseXOR(F.col(f"_all_{c}"))).otherwise(F.col(c))
+    size = F.when(F.col("first") == 1, F.col("_n") - F.col("tips")).otherwise(F.col("tips"))
+    df = df.select("tree_id", "node_id", F.concat(F.lpad(F.hex(side("high")), 16, "0"), F.lpad(F.hex(side("low")), 16, "0")).alias("split"), size.alias("leaves"))
+    return df.groupBy("tree_id", "split").agg(F.max(F.struct("node_id", "leaves")).alias("x")).select("tree_id", "x.node_id", "split", "x.leaves")
 
 
 def bipartitions(nodes: DataFrame) -> DataFrame:
-    """(tree_id, node_id, split): the side of each inner branch without the first leaf; trivial splits are left out.
-
-    Of nodes with one split, as both children of a root, the later one keeps it.
-    """
-    whole = clades(nodes)
-    leaves = nodes.join(nodes.select("tree_id", F.col("parent_id").alias("node_id")), ["tree_id", "node_id"], "left_anti")
-    all_ = leaves.groupBy("tree_id").agg(F.sort_array(F.collect_list("name")).alias("all"))
-    df = whole.join(all_, "tree_id").where("size(leaves) between 2 and size(all) - 2")
-    side = F.when(F.array_contains("leaves", F.col("all")[0]), F.array_except("all", "leaves")).otherwise(F.col("leaves"))
-    return df.groupBy("tree_id", side.alias("split")).agg(F.max("node_id").alias("node_id")).select("tree_id", "node_id", "split")
+    """(tree_id, node_id, split): `splits` with the sorted names of their leaves."""
+    df = cut(spans(nodes))
+    least = df.where("leaf").groupBy("tree_id").agg(F.min_by("leaf_rank", F.struct("name", "node_id")).alias("_first"), (F.max("leaf_rank") + 1).alias("_n"))
+    at = df.join(splits(nodes).select("tree_id", "node_id"), ["tree_id", "node_id"]).join(least, "tree_id")
+    start, end = F.col("leaf_rank"), F.col("leaf_rank") + F.col("tips")
+    other = F.concat(_range(F.lit(0).cast("long"), start), _range(end, F.col("_n")))
+    return _names_at(at, df, lambda: F.when((F.col("_first") >= start) & (F.col("_first") < end), other).otherwise(_range(start, end)), "split")
 
 
 def with_support(nodes: DataFrame, replicates: DataFrame, n: int) -> DataFrame:
     """Nodes with support: the share of n replicate trees (tree_id, rep, ...) that hold the node's split."""
-    own = bipartitions(nodes)
-    key = F.to_json(F.struct("tree_id", "rep"))
-    made = bipartitions(replicates.withColumn("tree", F.col("tree_id")).withColumn("tree_id", key))
-    names = replicates.select(key.alias("tree_id"), F.col("tree_id").alias("tree")).distinct()
-    seen = made.join(names, "tree_id").groupBy(F.col("tree").alias("tree_id"), "split").agg(F.count("*").alias("times"))
+    own = splits(nodes)
+    made = splits(replicates.withColumn("tree_id", F.struct("tree_id", "rep")))
+    seen = made.groupBy(F.col("tree_id.tree_id").alias("tree_id"), "split").agg(F.count("*").alias("times"))
     met = own.join(seen, ["tree_id", "split"], "left").select("tree_id", "node_id", (F.coalesce("times", F.lit(0)) / F.lit(float(n))).alias("_share"))
     return nodes.drop("support").join(met, ["tree_id", "node_id"], "left").withColumnRenamed("_share", "support")

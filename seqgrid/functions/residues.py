@@ -78,3 +78,15 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
     place = lambda c: F.instr(F.lit(ALPHABET), c) - 1
     pairs = cells.select(place(F.col("x")).alias("a"), place(F.col("names")[F.col("at")]).alias("b"), F.col("s").cast("double").alias("s"))
     return pairs.where("a > 0 and b > 0")
+
+
+def with_unknown(scores: DataFrame) -> DataFrame:
+    """(a, b, s) of all 27 x 27 codes: a code that scores (a, b, s) lack (gaps, U and O in published matrices) takes X's.
+
+    Without X in the scores, only what they name is returned.
+    """
+    x, codes = ALPHABET.index("X"), list(range(len(ALPHABET)))
+    known = scores.select("a").distinct().groupBy().agg(F.collect_set("a").alias("known"))  # 27 codes at most
+    each = scores.sparkSession.createDataFrame([(a, b) for a in codes for b in codes], "a int, b int").crossJoin(F.broadcast(known))  # one row
+    stands = lambda c: F.when(F.array_contains("known", F.col(c)), F.col(c)).otherwise(F.lit(x))
+    return each.select("a", "b", stands("a").alias("_a"), stands("b").alias("_b")).join(F.broadcast(scores.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "s")), ["_a", "_b"]).select("a", "b", "s")

@@ -5,14 +5,20 @@ each pair of the 27 codes, so they are broadcast.
 """
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqgrid.functions.alphabet import BACKGROUND
+from seqgrid.functions.alphabet import ALPHABET, BACKGROUND, CANONICAL
+from seqgrid.functions.joins import same_keys
+from seqgrid.functions.lineage import cut
 from seqgrid.functions.residues import POLARITY, VOLUME, by_code, z_scored
-from seqgrid.operators.profile import _clamped, _shares, jsd_track, shannon_track, threshold_track
+from seqgrid.operators.labels import auto_labels
+from seqgrid.operators.profile import _clamped, _shares, count_vectors, jsd_track, merged_counts, shannon_track, threshold_track
 
 KEY = ["aln_id", "col"]
 
@@ -89,3 +95,125 @@ def all_tracks(counts: DataFrame, seqs: DataFrame, scores: DataFrame) -> DataFra
 
 def multi_track(counts: DataFrame, seqs: DataFrame, scores: DataFrame) -> DataFrame:
     return all_tracks(counts, seqs, scores).groupBy(*KEY).agg(F.avg("score").alias("score"))
+
+
+METHODS = ("threshold", "shannon", "jsd", "mean_distance", "vector_norm", "bild", "liu")
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """`log_gamma` of arrays."""
+    low = x.copy()
+    for i in range(1, 8):
+        low *= x + i
+    y = x + 8
+    z = 1 / (y * y)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z / 1188)))) / y - np.log(low)
+
+
+def _entropy(p: np.ndarray) -> np.ndarray:
+    return -np.where(p > 0, p * np.log2(np.where(p > 0, p, 1.0)), 0.0).sum(axis=1)
+
+
+def column_scores(n: np.ndarray, rows: np.ndarray, methods: list[str], like: np.ndarray) -> dict[str, np.ndarray]:
+    """0 to 100 for each method and row of counts (27 codes); nan where a method has no score.
+
+    like: 20 x 20 substitution scores, for mean_distance and liu. multi is the mean of the scores there are.
+    """
+    c = n[:, 1:21].astype(float)
+    t = c.sum(axis=1)
+    q = np.array([BACKGROUND[a] for a in CANONICAL])
+    spread = lambda h: (1 - h / math.log2(20)) * 100
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = c / t[:, None]
+        made = {}
+
+        def threshold():
+            return p.max(axis=1) * 100
+
+        def shannon():
+            return spread(_entropy(p))
+
+        def jsd():
+            m = (p + q) / 2
+            return (np.where(p > 0, p * np.log2(np.where(p > 0, p, 1.0) / m), 0.0).sum(axis=1) + (q * np.log2(q / m)).sum(axis=1)) / 2 * 100
+
+        def mean_distance():
+            # Over pairs of residues: their score, and the mean of what both score with themselves.
+            own = c @ np.diag(like)
+            met = (np.einsum("ij,jk,ik->i", c, like, c) - own) / (t * (t - 1))
+            top = own / t + 4
+            return np.where(t == 1, 100.0, np.where(top > 0, np.clip((met + 4) / top * 100, 0, 100), np.nan))
+
+        def vector_norm():
+            x, y = (np.array([table[a] for a in CANONICAL]) for table in (z_scored(VOLUME), z_scored(POLARITY)))
+            whole = c @ np.hypot(x, y)
+            share = t / np.where(rows > 0, rows, t)
+            return np.where(whole > 0, share * np.hypot(c @ x, c @ y) / whole * 100, np.nan)
+
+        def bild():
+            odds = (_log_gamma(c + q) - _log_gamma(q) - c * np.log(q)).sum(axis=1) - _log_gamma(t + 1)
+            return odds / (-t * math.log(q.min())) * 100
+
+        def liu():
+            x = p @ np.maximum(like, 0)
+            mass = x.sum(axis=1, keepdims=True)
+            return np.where(mass[:, 0] > 0, spread(_entropy(x / mass)), shannon())
+
+        each = {f.__name__: f for f in (threshold, shannon, jsd, mean_distance, vector_norm, bild, liu)}
+        for name in METHODS if "multi" in methods else methods:
+            made[name] = np.where(t > 0, np.clip(each[name](), 0, 100), np.nan)
+    if "multi" in methods:
+        known = np.stack([made[m] for m in METHODS])
+        count = np.isfinite(known).sum(axis=0)
+        made["multi"] = np.where(count > 0, np.nansum(known, axis=0) / np.maximum(count, 1), np.nan)
+    return {m: made[m] for m in methods}
+
+
+def _likeness(scores: DataFrame | None) -> np.ndarray:
+    """Substitution scores (a, b, s) of the canonical codes as a matrix; at most a row for each pair of codes."""
+    like = np.zeros((len(ALPHABET), len(ALPHABET)))
+    for r in scores.select("a", "b", "s").collect() if scores is not None else []:
+        like[r["a"], r["b"]] = r["s"]
+    return like[1:21, 1:21]
+
+
+def scored(vectors: DataFrame, methods: list[str], scores: DataFrame | None = None) -> DataFrame:
+    """Count vectors with canonical, total, consensus, consensus_frac and a column for each method, null without score."""
+    like = _likeness(scores)
+    keys = [c for c in vectors.columns if c not in ("n", "rows")]
+    kinds = dict(vectors.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            n = batch.column("n").flatten().to_numpy().reshape(len(batch), -1)
+            found = column_scores(n, batch.column("rows").to_numpy(), methods, like)
+            total, best = n[:, 1:].sum(axis=1), n[:, 1:].max(axis=1)
+            facts = [n[:, 1:21].sum(axis=1), total, np.where(total > 0, 1 + n[:, 1:].argmax(axis=1), 0).astype(np.int32), best / np.maximum(total, 1)]
+            tracks = [pa.array(found[m], mask=~np.isfinite(found[m])) for m in methods]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *map(pa.array, facts), *tracks], names=[*keys, "canonical", "total", "consensus", "consensus_frac", *methods])
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", canonical bigint, total bigint, consensus int, consensus_frac double" + "".join(f", {m} double" for m in methods)
+    return vectors.select(*keys, "n", "rows").mapInArrow(run, schema)
+
+
+def track(vectors: DataFrame, method: str, scores: DataFrame | None = None) -> DataFrame:
+    """(aln_id, col, score) of the columns that hold a canonical residue."""
+    return scored(vectors, [method], scores).where("canonical > 0").select("aln_id", "col", F.col(method).alias("score"))
+
+
+def conservation_job(seqs: DataFrame, methods: list[str], scores: DataFrame | None = None, group: str = "grp") -> DataFrame:
+    """(aln_id, whole, group, col, method, score, total, label): tracks of all rows and of each group, labels of the former.
+
+    Rows are read and counted once, by group; counts of all rows are sums of those. Rows without a group
+    count in the whole only. Columns without a residue have a null score.
+    """
+    by_group = cut(count_vectors(seqs, group))
+    kind = dict(seqs.dtypes)[group]
+    whole = merged_counts(by_group, "aln_id").withColumn(group, F.lit(None).cast(kind)).withColumn("whole", F.lit(True))
+    both = whole.unionByName(by_group.where(F.col(group).isNotNull()).withColumn("whole", F.lit(False)))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("score")) for m in methods])).alias("x")
+    tracks = cut(scored(both, methods, scores).select("aln_id", "whole", group, "col", "total", each).select("aln_id", "whole", group, "col", "x.method", "x.score", "total"))
+    labels = auto_labels(tracks.where("whole").select("aln_id", "method", "col", "score", "total"), "method").withColumn("whole", F.lit(True))
+    return same_keys(tracks, labels, ["aln_id", "whole", "method", "col"], "left")

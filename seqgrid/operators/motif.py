@@ -1,7 +1,11 @@
-"""Motif search on ungapped sequences, without user code in the row path."""
+"""Motif search on ungapped sequences."""
 
 import re
+from collections.abc import Iterator
+from re import _parser
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,13 +31,91 @@ def find_motifs(seqs: DataFrame, regex: str) -> DataFrame:
     return df.select("aln_id", "row_ix", "match_ix", F.col("m.s").alias("u_start"), F.col("m.e").alias("u_end"))
 
 
-def count_motifs(seqs: DataFrame, patterns: DataFrame | list[str]) -> DataFrame:
-    """(row_ix, pattern, matches) of each pattern of a table (pattern) or list, zeros included."""
-    if not isinstance(patterns, DataFrame):
-        patterns = seqs.sparkSession.createDataFrame([(p,) for p in patterns], "pattern string")
-    # Every row meets every pattern: the result has a row for each. A table of patterns is a stated query set.
-    each = seqs.select("row_ix", ungap(F.col("aligned")).alias("u")).crossJoin(F.broadcast(patterns.select("pattern")))
-    return each.select("row_ix", "pattern", F.regexp_count("u", F.col("pattern")).alias("matches"))
+#: Bytes of patterns that tasks hold at most.
+MAX_PATTERN_BYTES = 16 << 20
+
+
+def needed_literal(regex: str) -> str:
+    """The longest text that every match of a regular expression holds; empty if none is sure."""
+    found, run = [""], ""
+
+    def walk(items) -> None:
+        nonlocal run
+        for kind, value in items:
+            if kind is _parser.LITERAL:
+                run += chr(value)
+                continue
+            if kind is _parser.SUBPATTERN and not value[1] and not value[2]:
+                walk(value[3])
+                continue
+            if kind is _parser.AT:
+                continue
+            found.append(run)
+            run = ""
+            if kind in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0] > 0:
+                walk(value[2])
+                found.append(run)
+                run = ""
+
+    try:
+        parsed = _parser.parse(regex)
+    except re.error:
+        return ""
+    if parsed.state.flags & re.IGNORECASE:
+        return ""
+    walk(parsed)
+    return max([*found, run], key=len)
+
+
+def _hits(patterns: list[str], zeros: bool):
+    """Counts of every pattern in each row: one pass of an automaton over the literals that matches need, then
+    the expressions whose literal was seen, and those that need none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        needs: dict[str, list[int]] = {}
+        always = []
+        for k, p in enumerate(patterns):
+            if literal := needed_literal(p):
+                needs.setdefault(literal, []).append(k)
+            else:
+                always.append(k)
+        trie = ahocorasick.Automaton()
+        for literal, ks in needs.items():
+            trie.add_word(literal, ks)
+        if needs:
+            trie.make_automaton()
+        compiled = [re.compile(p) for p in patterns]
+        for batch in batches:
+            row, which, count = [], [], []
+            for ix, text in zip(batch.column("row_ix").to_pylist(), batch.column("u").to_pylist(), strict=True):
+                text = text or ""
+                seen = {id(ks): ks for _, ks in trie.iter(text)} if needs else {}
+                n = dict.fromkeys(range(len(patterns)), 0) if zeros else {}
+                for k in (*always, *(k for ks in seen.values() for k in ks)):
+                    if found := sum(1 for _ in compiled[k].finditer(text)):
+                        n[k] = found
+                row += [ix] * len(n)
+                which += n
+                count += n.values()
+            yield pa.RecordBatch.from_arrays([pa.array(row, batch.column("row_ix").type), pa.array([patterns[k] for k in which], pa.string()), pa.array(count, pa.int32())], names=["row_ix", "pattern", "matches"])
+
+    return run
+
+
+def count_motifs(seqs: DataFrame, patterns: DataFrame | list[str], zeros: bool = True) -> DataFrame:
+    """(row_ix, pattern, matches) of each pattern of a table (pattern) or list; `zeros`: with those that a row lacks.
+
+    Patterns are a stated query set whose size is checked. Rows meet one automaton of the literals that the
+    patterns need, and only the expressions that may match.
+    """
+    if isinstance(patterns, DataFrame):
+        held = patterns.select("pattern").where("pattern is not null").distinct()
+        size = held.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0
+        if size > MAX_PATTERN_BYTES:
+            raise ValueError(f"patterns of {size} bytes; {MAX_PATTERN_BYTES} at most")
+        patterns = [r["pattern"] for r in held.collect()]
+    kind = dict(seqs.dtypes)["row_ix"]
+    return seqs.select("row_ix", ungap(F.col("aligned")).alias("u")).mapInArrow(_hits(list(dict.fromkeys(patterns)), zeros), f"row_ix {kind}, pattern string, matches int")
 
 
 def match_list(ranges: DataFrame) -> DataFrame:

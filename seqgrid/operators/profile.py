@@ -1,12 +1,89 @@
 """Column profiles and conservation scores, from counts alone."""
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqgrid.functions.alphabet import ALPHABET, BACKGROUND
+from seqgrid.functions.joins import same_keys
+from seqgrid.functions.lineage import cut
+
+#: Columns of counts that a task holds before it hands them on.
+_HELD = 1_000_000
+
+
+def _counted(keys: list[str]):
+    """Counts of each column's codes over the rows of a task; column -1 holds the number of rows."""
+    code = np.full(256, ALPHABET.index("X"), np.int64)
+    for k, ch in enumerate(ALPHABET):
+        code[ord(ch)] = k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        rows: dict[tuple, int] = {}
+        types = None
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            for key, counts in held.items():
+                at = np.flatnonzero(counts.any(axis=1))
+                n = np.concatenate([np.zeros((1, len(ALPHABET)), np.int64), counts[at]])
+                n[0, 0] = rows[key]
+                flat = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * len(ALPHABET), pa.array(n.ravel()))
+                yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(n), t) for k, t in zip(key, types, strict=True)), pa.array(np.concatenate([[-1], at]), pa.int32()), flat], names=[*keys, "col", "n"])
+            held.clear()
+            rows.clear()
+
+        for batch in batches:
+            types = [batch.column(k).type for k in keys]
+            for *key, text in zip(*(batch.column(k).to_pylist() for k in keys), batch.column("aligned").to_pylist(), strict=True):
+                key = tuple(key)
+                codes = code[np.frombuffer((text or "").encode("latin-1", "replace"), np.uint8)]
+                rows[key] = rows.get(key, 0) + 1
+                counts = held.get(key)
+                if counts is None or len(counts) < len(codes):
+                    grown = np.zeros((max(len(codes), 2 * (0 if counts is None else len(counts))), len(ALPHABET)), np.int64)
+                    if counts is not None:
+                        grown[: len(counts)] = counts
+                    counts = held[key] = grown
+                counts[np.arange(len(codes)), codes] += 1
+                if sum(map(len, held.values())) > _HELD:
+                    yield from handed()
+        yield from handed()
+
+    return run
+
+
+def merged_counts(vectors: DataFrame, *keys: str) -> DataFrame:
+    """(keys, col, n, rows): counts added up over what the keys leave out."""
+    size = vectors.select(*[c for c in vectors.columns if c not in ("col", "n")]).distinct().groupBy(*keys).agg(F.sum("rows").alias("rows"))
+    total = F.array(*[F.sum(F.col("n")[k]) for k in range(len(ALPHABET))])
+    return same_keys(vectors.groupBy(*keys, "col").agg(total.alias("n")), size, list(keys))
+
+
+def count_vectors(seqs: DataFrame, *group: str) -> DataFrame:
+    """(aln_id, group, col, n array<bigint>, rows): how often each of the 27 codes stands in a column, and all rows.
+
+    One scan of the rows, counted in tasks before anything is shuffled; written, as all scores come from it.
+    Cells behind a ragged row's end are in `rows` alone. Null keys are groups of their own.
+    """
+    keys = ["aln_id", *group]
+    kinds = dict(seqs.dtypes)
+    found = seqs.select(*keys, "aligned").mapInArrow(_counted(keys), ", ".join(f"{k} {kinds[k]}" for k in keys) + ", col int, n array<bigint>")
+    total = F.array(*[F.sum(F.col("n")[k]) for k in range(len(ALPHABET))])
+    whole = cut(found.groupBy(*keys, "col").agg(total.alias("n")))
+    rows = whole.where("col = -1").select(*keys, F.col("n")[0].alias("rows"))
+    return same_keys(whole.where("col >= 0"), rows, keys)
+
+
+def long_counts(vectors: DataFrame) -> DataFrame:
+    """(keys, col, code, n) of the non-gap cells, as `column_counts` gives them."""
+    keys = [c for c in vectors.columns if c not in ("n", "rows")]
+    return vectors.select(*keys, F.posexplode("n").alias("code", "n")).where("code > 0 and n > 0")
 
 
 def column_counts(cells: DataFrame, *group: str) -> DataFrame:

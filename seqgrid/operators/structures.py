@@ -7,16 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqgrid.sources.lines import counted, split_lines
+
 AXES = "xyz"
 
 
 def read_ca(spark: SparkSession, path: str) -> DataFrame:
     """Calpha atoms of a folder of PDB files, a model per file; coordinates that aren't numbers are null."""
-    text = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("model_id"), F.posexplode(F.split("value", "\r?\n")).alias("line", "s"))
-    atoms = text.where("(s like 'ATOM%' or s like 'HETATM%') and trim(substring(s, 13, 4)) = 'CA'")
-    number = lambda at, n: F.expr(f"try_cast(trim(substring(s, {at}, {n})) as double)")
-    order = W.partitionBy("model_id").orderBy("line")
-    return atoms.select("model_id", (F.row_number().over(order) - 1).alias("residue_ix"), number(31, 8).alias("x"), number(39, 8).alias("y"), number(47, 8).alias("z"), number(61, 6).alias("plddt"))
+    is_atom = F.expr("(value like 'ATOM%' or value like 'HETATM%') and trim(substring(value, 13, 4)) = 'CA'")
+    atoms = counted(split_lines(spark, path), is_atom, "nth").where(is_atom)
+    number = lambda at, n: F.expr(f"try_cast(trim(substring(value, {at}, {n})) as double)")
+    model = F.regexp_extract("file", "([^/]+)$", 1).alias("model_id")
+    return atoms.select(model, (F.col("nth") - 1).cast("int").alias("residue_ix"), number(31, 8).alias("x"), number(39, 8).alias("y"), number(47, 8).alias("z"), number(61, 6).alias("plddt"))
 
 
 def mean_plddt(atoms: DataFrame) -> DataFrame:

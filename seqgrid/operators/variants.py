@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqgrid.functions.alphabet import CANONICAL, decode, encode
+from seqgrid.functions.residues import with_unknown
+from seqgrid.sources.lines import counted, split_lines
 
 
 def read_variants(spark: SparkSession, path: str) -> DataFrame:
@@ -13,9 +15,9 @@ def read_variants(spark: SparkSession, path: str) -> DataFrame:
     and a first line of known column names. Three fields are name, position and target.
     """
     known = ["seq", "seqname", "sequence", "name", "pos", "position", "from", "ref", "wt", "to", "alt", "mut", "label", "note"]
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+    raw = counted(split_lines(spark, path), F.lit(True), "line")
     f = F.transform(F.split("value", F.when(F.col("value").contains("\t"), "\t").otherwise(",")), lambda x: F.trim(x))
-    rows = raw.where("trim(value) != '' and ltrim(value) not like '#%'").select("file", (F.col("at") + 1).alias("line"), f.alias("f"), F.size(f).alias("k"))
+    rows = raw.where("trim(value) != '' and ltrim(value) not like '#%'").select("file", F.col("line").cast("int").alias("line"), f.alias("f"), F.size(f).alias("k"))
     head = (F.col("line") == 1) & (F.col("k") >= 2) & F.forall("f", lambda x: F.lower(x).isin(known))
     four = F.col("k") >= 4
     got = rows.where(~head).select(
@@ -89,19 +91,24 @@ def saturation(residues: DataFrame, seqs: DataFrame) -> DataFrame:
 
 
 def score_variants(sited: DataFrame, stats: DataFrame, track: DataFrame, scores: DataFrame) -> DataFrame:
-    """(..., score 0..100, kind, confidence, band) of placed variants.
+    """(..., ref, score 0..100, kind, confidence, note, band) of placed variants.
 
     The reference residue is from_aa, else the column's consensus; conservation is the track's score,
-    else the consensus share. Variants without a column score 0. Pairs the scores lack count as -1.
+    else the consensus share. Variants without a column score 0. Residues that the scores lack count as X,
+    and as -1 if they have no X either.
     """
     facts = stats.join(track.withColumnRenamed("score", "cons"), ["aln_id", "col"], "left")
     facts = facts.select("aln_id", "col", "consensus", F.coalesce("cons", F.col("consensus_frac") * 100).alias("cons"))
     df = sited.join(facts, ["aln_id", "col"], "left")
     df = df.withColumn("a", F.coalesce(encode(F.col("from_aa")), "consensus")).withColumn("b", encode(F.col("to_aa")))
-    df = df.join(F.broadcast(scores), ["a", "b"], "left").withColumn("s", F.coalesce("s", F.lit(-1.0)))
+    df = df.join(F.broadcast(with_unknown(scores)), ["a", "b"], "left").withColumn("s", F.coalesce("s", F.lit(-1.0)))
     gap, same = F.col("b") == 0, F.col("a") == F.col("b")
     pen = F.when(gap, 0.9).when(same, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (4 - F.col("s")) / 8)))
+    #: 0.9 for a deletion, 0.35 and 0.65 as shares without and with conservation.
     score = F.when(F.col("cons").isNull(), 0).otherwise(F.floor(100 * pen * (0.35 + 0.65 * F.col("cons") / 100) + 0.5)).cast("long")
     kind = F.when(F.col("cons").isNull(), "unplaced").when(gap, "deletion").when(same, "same").when(F.col("s") >= 1, "conservative").when(F.col("s") <= -2, "radical").otherwise("moderate")
-    out = df.select(*sited.columns, decode(F.col("a")).alias("ref"), score.alias("score"), kind.alias("kind"), F.coalesce(F.col("cons") / 100, F.lit(0.0)).alias("confidence"))
+    change = F.concat(decode(F.col("a")), F.lit("\u2192"), F.when(gap, "gap deletion").otherwise(F.concat(decode(F.col("b")), F.lit(" "), kind, F.format_string(" (score %+d)", F.col("s").cast("int")))))
+    said = F.concat(F.lit("conserved "), F.floor(F.col("cons") + 0.5).cast("string"), F.lit(" \u00b7 "), F.when(same & ~gap, "synonymous (no residue change)").otherwise(change))
+    note = F.when(F.col("cons").isNull(), "position not mapped to a column").otherwise(said)
+    out = df.select(*sited.columns, decode(F.col("a")).alias("ref"), score.alias("score"), kind.alias("kind"), F.coalesce(F.col("cons") / 100, F.lit(0.0)).alias("confidence"), note.alias("note"))
     return out.withColumn("band", F.when(F.col("score") < 34, "low").when(F.col("score") < 67, "medium").otherwise("high"))

@@ -4,12 +4,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqgrid.functions.alphabet import CANONICAL
+from seqgrid.functions.alphabet import BACKGROUND, CANONICAL
+from seqgrid.functions.lineage import cut
 from seqgrid.functions.residues import RESIDUES
 from seqgrid.operators import cells as c
-from seqgrid.operators import clustering, columns, features, identity, joining, labels, layout, motif, newick, profile, rows, structures, trees, versions
+from seqgrid.operators import clustering, columns, conservation, features, identity, joining, labels, layout, motif, newick, profile, rows, structures, trees, versions
 from seqgrid.plans.bridge import SQL, sequences
-from seqgrid.plans.more import _R, _TREE, _case, atoms, rounded
+from seqgrid.plans.more import _CLAMP, _LOG20, _Q, _R, _TREE, _case, atoms, rounded
 from seqgrid.plans.queries import _PAIRS
 
 GRID = (16, 8)
@@ -17,7 +18,7 @@ REPLICATES = 20
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return profile.column_counts(c.to_cells(sequences(spark, d)))
+    return profile.long_counts(profile.count_vectors(sequences(spark, d)))
 
 
 def named_tree(spark: SparkSession, d: str) -> DataFrame:
@@ -53,29 +54,46 @@ def distance_global(spark: SparkSession, d: str) -> DataFrame:
     return rounded(identity.identity_distance(s, columns.ungapped_columns(_counts(spark, d), s), zones))
 
 
-def _labelled_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _labelled_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors of each label as an alignment's rows."""
     v = spark.read.parquet(f"{d}/embeddings.parquet")
-    return v.select(F.col("label").alias("aln_id"), F.col("vec_id").alias("row_ix")), features.euclidean(v).withColumnRenamed("label", "aln_id")
+    return v.select(F.col("label").alias("aln_id"), F.col("vec_id").alias("row_ix"), F.col("embedding").cast("array<double>").alias("v"))
 
 
 def density(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(clustering.density_peaks(*_labelled_vectors(spark, d)))
+    return rounded(clustering.vector_density_peaks(_labelled_vectors(spark, d)))
 
 
 def peaks(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.peak_clusters(clustering.density_peaks(*_labelled_vectors(spark, d)))
+    return clustering.peak_clusters(clustering.vector_density_peaks(_labelled_vectors(spark, d)))
+
+
+def _labelled_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    return v.select(F.col("label").alias("aln_id"), F.col("vec_id").alias("row_ix")), features.euclidean(v).withColumnRenamed("label", "aln_id")
+
 
+def cluster_silhouettes(spark: SparkSession, d: str) -> DataFrame:
+    """How well the vectors of each label part by the remainders of their id by 2, 3 and 4."""
+    parts = F.array(*[(F.col("row_ix") % k).cast("int") for k in (2, 3, 4)])
+    return rounded(clustering.silhouettes(_labelled_vectors(spark, d).withColumn("clusters", parts)))
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    counts = _counts(spark, d).persist()
-    return profile.jsd_track(counts).join(counts.groupBy("aln_id", "col").agg(F.sum("n").alias("total")), ["aln_id", "col"])
+
+def auto_clusters(spark: SparkSession, d: str) -> DataFrame:
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    return clustering.auto_kmeans(v.select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("v"))).withColumnRenamed("i", "vec_id")
 
 
 def column_labels(spark: SparkSession, d: str) -> DataFrame:
-    scores = _scored(spark, d)
+    scores = cut(conservation.scored(profile.count_vectors(sequences(spark, d)), ["jsd"]).where("canonical > 0").select("aln_id", "col", F.col("jsd").alias("score"), "total"))
     return labels.label_tally(labels.auto_labels(scores), scores)
 
 
+def conservation_job(spark: SparkSession, d: str) -> DataFrame:
+    """Two tracks of all rows, with labels, and of each language, from one scan of the texts."""
+    return rounded(conservation.conservation_job(sequences(spark, d), ["shannon", "jsd"]))
+
+
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     s = sequences(spark, d)
     number = s.select(F.col("grp").alias("lang")).distinct().withColumn("cluster", F.row_number().over(W.orderBy("lang")) * 2)  # a row per language
@@ -137,8 +155,12 @@ def queries() -> dict:
         "distance_global": distance_global,
         "identity_report": lambda s, d: rounded(identity.identity_report(sequences(s, d), identity.pair_identity(sequences(s, d)))),
         "density_peaks": density,
+        "pair_density_peaks": lambda s, d: rounded(clustering.density_peaks(*_labelled_pairs(s, d))),
+        "cluster_silhouettes": cluster_silhouettes,
+        "auto_kmeans": auto_clusters,
+        "conservation_job": conservation_job,
         "peak_clusters": peaks,
-        "hierarchic": lambda s, d: clustering.hierarchic(*_labelled_vectors(s, d)),
+        "hierarchic": lambda s, d: clustering.hierarchic_vectors(_labelled_vectors(s, d)),
         "column_labels": column_labels,
         "group_layout": lambda s, d: clustering.group_layout(_languages(s, d)),
         "apply_layout": laid_out,
@@ -153,6 +175,56 @@ def queries() -> dict:
     }
 
 
+def _density_sql() -> str:
+    return (
+        "with p as (select a.label as aln_id, a.vec_id as i, b.vec_id as j, list_distance(a.embedding::double[], b.embedding::double[]) as dist from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id),"
+        " k as (select *, row_number() over (partition by aln_id order by dist, i, j) - 1 as nth, count(*) over (partition by aln_id) as n from p),"
+        " r as (select aln_id, max(dist) as far, coalesce(nullif(max(dist) filter (nth = floor(n * 0.02::double)), 0), nullif(min(dist), 0), 1) as reach from k group by 1),"
+        " b as (select aln_id, i, j, dist from p union all select aln_id, j, i, dist from p),"
+        " rh as (select aln_id, i as row_ix, sum(exp(-power(dist / reach, 2))) as rho, max(far) as far from b join r using (aln_id) group by 1, 2),"
+        " rk as (select e.label as aln_id, e.vec_id as row_ix, coalesce(rho, 0) as rho, far, row_number() over (partition by e.label order by coalesce(rho, 0) desc, e.vec_id) as rank from embeddings e left join rh on rh.aln_id = e.label and rh.row_ix = e.vec_id),"
+        " nd as (select x.aln_id, x.row_ix, min(dist) as delta, first(y.row_ix order by dist, y.rank) as denser from rk x join b on b.aln_id = x.aln_id and b.i = x.row_ix join rk y on y.aln_id = b.aln_id and y.row_ix = b.j where y.rank < x.rank group by 1, 2)"
+        f" select aln_id, row_ix, {_R('rho', 'rho')}, {_R('coalesce(delta, far, 0)', 'delta')}, rank, denser from rk left join nd using (aln_id, row_ix)"
+    )
+
+
+def _silhouette_sql() -> str:
+    return (
+        "with e as (select label, vec_id, embedding::double[] as v, nth, (vec_id % (nth + 2))::int as c from embeddings, range(3) t(nth)),"
+        " p as (select a.label, a.nth, a.vec_id as i, b.c, list_distance(a.v, b.v) as d from e a join e b on a.label = b.label and a.nth = b.nth and a.vec_id <> b.vec_id),"
+        " m as (select label, nth, i, c, avg(d) as d from p group by all), s as (select label, nth, i, min(d) filter (c = i % (nth + 2)) as a, min(d) filter (c <> i % (nth + 2)) as b from m group by all)"
+        f" select e.label as aln_id, e.nth::int as nth, {_R('case when count(b) = 0 then -1 else avg(case when a is null or b is null or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end) end', 'silhouette')}"
+        " from e left join s on e.label = s.label and e.nth = s.nth and e.vec_id = s.i group by e.label, e.nth"
+    )
+
+
+def _job_sql() -> str:
+    """Tracks of all rows and of each language; labels by k-means in a recursion over its rounds."""
+    jsd = f"(sum(p * log2(p / ((p + q) / 2)) / 2 + q * log2(q / ((p + q) / 2)) / 2 - q / 2) + {sum(BACKGROUND.values()) / 2!r}::double) * 100"
+    near = "list_position(list_transform(c, lambda y: abs(y - x)), list_min(list_transform(c, lambda y: abs(y - x))))"
+    return f"""{SQL}, q(code, q) as (values {_Q}),
+gc as (select aln_id, true as whole, null::varchar as grp, col, code, count(*) as n from cells where code > 0 group by aln_id, col, code
+  union all select aln_id, false, grp, col, code, count(*) from cells where code > 0 and grp is not null group by aln_id, grp, col, code),
+allc as (select aln_id, true as whole, null::varchar as grp, col, count(*) filter (code > 0) as total from cells group by aln_id, col
+  union all select aln_id, false, grp, col, count(*) filter (code > 0) from cells where grp is not null group by aln_id, grp, col),
+gp as (select *, n::double / sum(n) over (partition by aln_id, whole, grp, col) as p from gc where code between 1 and 20),
+sh as (select aln_id, whole, grp, col, {_CLAMP(f"(1 + sum(p * log2(p)) / {_LOG20}) * 100")} as shannon, {_CLAMP(jsd)} as jsd from gp join q using (code) group by all),
+tr as (select a.*, m.method, case when m.method = 'shannon' then shannon else jsd end as score from allc a cross join (values ('shannon'), ('jsd')) m(method)
+  left join sh on sh.aln_id is not distinct from a.aln_id and sh.whole = a.whole and sh.grp is not distinct from a.grp and sh.col = a.col),
+va as (select aln_id, method, score::float::double as x, count(*) as n from tr where whole and total >= 6 and score is not null group by all),
+st as (select aln_id, method, min(x) as lo, max(x) as hi, least(count(*), 3) as k from va group by all),
+ce(aln_id, method, it, c) as (select aln_id, method, 0, list_transform(range(k), lambda i: lo + (i + 0.5::double) * (hi - lo) / k) from st
+  union all select aln_id, method, it + 1, list_transform(range(1, len(c) + 1), lambda i: coalesce(map_extract(means, i)[1], c[i])) from (
+    select aln_id, method, it, c, map_from_entries(list((nr, m))) as means from (
+      select ce.aln_id, ce.method, it, c, {near} as nr, sum(x * n) / sum(n) as m from ce join va on va.aln_id = ce.aln_id and va.method = ce.method where it < 40 group by all) group by all)),
+en as (select * from ce where it = 40),
+hd as (select distinct en.aln_id, en.method, {near} as nr, c[{near}] as m from en join va on va.aln_id = en.aln_id and va.method = en.method),
+rk as (select *, row_number() over (partition by aln_id, method order by m desc, nr) as nth from hd),
+sited as (select tr.*, case when total >= 6 and score is not null then {near.replace("x)", "score::float::double)")} end as nr from tr left join en on whole and en.aln_id = tr.aln_id and en.method = tr.method)
+select s.aln_id, whole, grp, col, s.method, {_R("score", "score")}, total, case when not whole then null when s.nr is null then 0 else greatest(0, 3 - nth) end::int as label
+from sited s left join rk on whole and rk.aln_id = s.aln_id and rk.method = s.method and rk.nr = s.nr"""
+
+
 def oracle_sql() -> dict:
     residues = {k: {a: v[k] for a, v in RESIDUES.items()} for k in range(3)}
     count = " union all ".join(f"select aln_id, row_ix, '{a}' as residue, length(aligned) - length(replace(aligned, '{a}', '')) as n from seqs" for a in CANONICAL)
@@ -169,14 +241,10 @@ def oracle_sql() -> dict:
         " m as (select a.aln_id, a.row_ix as i, b.row_ix as j, sum((a.code = b.code)::int)::bigint as same, count(*) as compared from cells a join uc using (aln_id, col) join cells b on a.aln_id = b.aln_id and a.col = b.col and a.row_ix < b.row_ix group by all)"
         f" select a.aln_id, a.row_ix as i, b.row_ix as j, coalesce(same, 0) as same, coalesce(compared, 0) as compared, {_R('coalesce(1 - same / compared::double, 1)', 'dist')} from seqs a join seqs b on a.aln_id = b.aln_id and a.row_ix < b.row_ix left join m on m.aln_id = a.aln_id and m.i = a.row_ix and m.j = b.row_ix",
         "identity_report": SQL + f", {_PAIRS} select aln_id, i, j, {_R('pct', 'pct')} from (select aln_id, i, j, pct from pp union all select aln_id, j, i, pct from pp union all select aln_id, row_ix, row_ix, 100.0::double from seqs)",
-        "density_peaks": "with p as (select a.label as aln_id, a.vec_id as i, b.vec_id as j, list_distance(a.embedding::double[], b.embedding::double[]) as dist from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id),"
-        " k as (select *, row_number() over (partition by aln_id order by dist, i, j) - 1 as nth, count(*) over (partition by aln_id) as n from p),"
-        " r as (select aln_id, max(dist) as far, coalesce(nullif(max(dist) filter (nth = floor(n * 0.02::double)), 0), nullif(min(dist), 0), 1) as reach from k group by 1),"
-        " b as (select aln_id, i, j, dist from p union all select aln_id, j, i, dist from p),"
-        " rh as (select aln_id, i as row_ix, sum(exp(-power(dist / reach, 2))) as rho, max(far) as far from b join r using (aln_id) group by 1, 2),"
-        " rk as (select e.label as aln_id, e.vec_id as row_ix, coalesce(rho, 0) as rho, far, row_number() over (partition by e.label order by coalesce(rho, 0) desc, e.vec_id) as rank from embeddings e left join rh on rh.aln_id = e.label and rh.row_ix = e.vec_id),"
-        " nd as (select x.aln_id, x.row_ix, min(dist) as delta, first(y.row_ix order by dist, y.rank) as denser from rk x join b on b.aln_id = x.aln_id and b.i = x.row_ix join rk y on y.aln_id = b.aln_id and y.row_ix = b.j where y.rank < x.rank group by 1, 2)"
-        f" select aln_id, row_ix, {_R('rho', 'rho')}, {_R('coalesce(delta, far, 0)', 'delta')}, rank, denser from rk left join nd using (aln_id, row_ix)",
+        "density_peaks": _density_sql(),
+        "pair_density_peaks": _density_sql(),
+        "cluster_silhouettes": _silhouette_sql(),
+        "conservation_job": _job_sql(),
         "group_layout": SQL + ", g as (select aln_id, row_ix, dense_rank() over (order by grp nulls first) * 2 as cluster from seqs)"
         " select aln_id, row_ix, dense_rank() over (partition by aln_id order by cluster) - 1 as group_id, case when cluster = 4 then 'Others' else 'Group ' || (cluster + 1) end as name, row_number() over (partition by aln_id order by cluster, row_ix) - 1 as position from g",
         "apply_layout": SQL + f", m as (select aln_id, row_ix, row_number() over (partition by aln_id order by row_ix) as k, row_number() over (partition by aln_id order by -row_ix) as t from {first} where row_ix % 3 = 0),"

@@ -19,8 +19,12 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[(F.round(n, 6) + F.lit(0.0)).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes])
 
 
-def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return profile.column_counts(c.to_cells(sequences(spark, d)))
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return profile.count_vectors(sequences(spark, d))
+
+
+def _track(spark: SparkSession, d: str, method: str) -> DataFrame:
+    return rounded(conservation.track(_vectors(spark, d), method, class_scores(spark)))
 
 
 def variant_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -34,9 +38,9 @@ def variant_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def variant_scores(spark: SparkSession, d: str) -> DataFrame:
-    counts = _counts(spark, d)
+    counts = profile.long_counts(_vectors(spark, d))
     sited = variants.placed(variant_rows(spark, d), sequences(spark, d))
-    return rounded(variants.score_variants(sited, profile.column_stats(counts), profile.jsd_track(counts), class_scores(spark)).drop("ref"))
+    return rounded(variants.score_variants(sited, profile.column_stats(counts), profile.jsd_track(counts), class_scores(spark)).drop("ref", "note"))
 
 
 def atoms(spark: SparkSession, d: str) -> DataFrame:
@@ -80,12 +84,12 @@ def edit_log(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "vector_norm_track": lambda s, d: rounded(conservation.vector_norm_track(_counts(s, d), sequences(s, d))),
-        "bild_track": lambda s, d: rounded(conservation.bild_track(_counts(s, d))),
-        "mean_distance_track": lambda s, d: rounded(conservation.mean_distance_track(_counts(s, d), class_scores(s))),
-        "liu_track": lambda s, d: rounded(conservation.liu_track(_counts(s, d), class_scores(s))),
-        "multi_track": lambda s, d: rounded(conservation.multi_track(_counts(s, d), sequences(s, d), class_scores(s))),
-        "ungapped_columns": lambda s, d: columns.ungapped_columns(_counts(s, d), sequences(s, d)),
+        "vector_norm_track": lambda s, d: _track(s, d, "vector_norm"),
+        "bild_track": lambda s, d: _track(s, d, "bild"),
+        "mean_distance_track": lambda s, d: _track(s, d, "mean_distance"),
+        "liu_track": lambda s, d: _track(s, d, "liu"),
+        "multi_track": lambda s, d: _track(s, d, "multi"),
+        "ungapped_columns": lambda s, d: columns.ungapped_columns(profile.long_counts(_vectors(s, d)), sequences(s, d)),
         "gated_groups": gated,
         "isoelectric": lambda s, d: rounded(features.isoelectric(sequences(s, d))),
         "variants_placed": lambda s, d: variants.placed(variant_rows(s, d), sequences(s, d)),

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqgrid.functions.alphabet import ALPHABET, BACKGROUND, CANONICAL, HYDROPATHY, canonicalise, ungap
+from seqgrid.functions.joins import same_keys
+from seqgrid.functions.lineage import cut
 from seqgrid.operators import cells as c
 from seqgrid.operators import features as f
-from seqgrid.operators import identity, motif, profile, trees
+from seqgrid.operators import conservation, identity, motif, profile, trees
 from seqgrid.plans.bridge import SQL, sequences
 from seqgrid.sources.fasta import fasta_records
 
@@ -21,13 +23,28 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
     return c.to_cells(sequences(spark, d))
 
 
-def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return profile.column_counts(_cells(spark, d))
+def column_profile(spark: SparkSession, d: str) -> DataFrame:
+    found = conservation.scored(profile.count_vectors(sequences(spark, d)), ["shannon"]).where("total > 0")
+    return _rounded(found.select("aln_id", "col", "total", "consensus", "consensus_frac", "shannon"))
 
 
-def column_profile(spark: SparkSession, d: str) -> DataFrame:
-    counts = _counts(spark, d)
-    return _rounded(profile.column_stats(counts).join(profile.shannon_track(counts).withColumnRenamed("score", "shannon"), ["aln_id", "col"], "left"))
+def _track(spark: SparkSession, d: str, method: str) -> DataFrame:
+    return _rounded(conservation.track(profile.count_vectors(sequences(spark, d)), method))
+
+
+def group_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """threshold of all rows and of each group, a null group included, from one count by group."""
+    by_group = cut(profile.count_vectors(sequences(spark, d), "grp"))
+    whole = profile.merged_counts(by_group, "aln_id").select("aln_id", F.lit(True).alias("whole"), F.lit(None).cast("string").alias("grp"), "col", "n", "rows")
+    both = whole.unionByName(by_group.withColumn("whole", F.lit(False)))
+    found = conservation.scored(both, ["threshold"]).where("canonical > 0")
+    return _rounded(found.select("aln_id", "whole", "grp", "col", F.col("threshold").alias("score"), F.col("canonical").alias("n")))
+
+
+def barcode_lanes(spark: SparkSession, d: str) -> DataFrame:
+    by_group = profile.count_vectors(sequences(spark, d), "grp")
+    found = same_keys(conservation.scored(by_group, []).where("total > 0"), by_group.select("aln_id", "grp", "rows").distinct(), ["aln_id", "grp"])
+    return _rounded(found.select("aln_id", "grp", "col", (F.col("consensus_frac") * 100).alias("conservation"), ((F.col("rows") - F.col("total")) / F.col("rows")).alias("gap_frac")))
 
 
 def edit_splice(spark: SparkSession, d: str) -> DataFrame:
@@ -45,10 +62,10 @@ def mutants(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     return {
         "column_profile": column_profile,
-        "threshold_track": lambda s, d: _rounded(profile.threshold_track(_counts(s, d))),
-        "jsd_track": lambda s, d: _rounded(profile.jsd_track(_counts(s, d))),
-        "group_tracks": lambda s, d: _rounded(profile.group_tracks(_cells(s, d))),
-        "barcode_lanes": lambda s, d: _rounded(profile.barcode_lanes(_cells(s, d), sequences(s, d))),
+        "threshold_track": lambda s, d: _track(s, d, "threshold"),
+        "jsd_track": lambda s, d: _track(s, d, "jsd"),
+        "group_tracks": group_tracks,
+        "barcode_lanes": barcode_lanes,
         "residue_map": lambda s, d: c.residue_map(_cells(s, d)),
         "gap_runs": lambda s, d: c.gap_runs(_cells(s, d)),
         "gap_only_cols": lambda s, d: c.gap_only_columns(_cells(s, d)),

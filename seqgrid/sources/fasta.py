@@ -1,22 +1,19 @@
 """FASTA folders in and out."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqgrid.sources.lines import counted, split_lines
+
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq_no, name, residues): a record per header; text before the first header is dropped."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        F.regexp_replace("value", "\r$", "").alias("value"),
-    )
+    """(file, seq_no, name, residues): a record per header; text before the first header is dropped.
+
+    Files are read by split, headers counted in each, so that a large file is many tasks'; a record may span splits.
+    """
     header = F.col("value").rlike("^[>;]")
-    order = W.partitionBy("file").orderBy("block", "line")
-    rows = lines.withColumn("seq_no", F.sum(header.cast("int")).over(order)).where("seq_no > 0")
-    body = F.when(~header, F.struct("block", "line", F.regexp_replace("value", "[ \t]", "").alias("s")))
+    rows = counted(split_lines(spark, path), header, "seq_no").where("seq_no > 0")
+    body = F.when(~header, F.struct("block", "at", F.regexp_replace("value", "[ \t]", "").alias("s")))
     parts = F.sort_array(F.collect_list(body))
     return rows.groupBy("file", "seq_no").agg(
         F.max(F.when(header, F.trim(F.substring("value", 2, 1 << 30)))).alias("name"),

@@ -79,11 +79,6 @@ def cluster_silhouettes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(clustering.silhouettes(_labelled_vectors(spark, d).withColumn("clusters", parts)))
 
 
-def auto_clusters(spark: SparkSession, d: str) -> DataFrame:
-    v = spark.read.parquet(f"{d}/embeddings.parquet")
-    return clustering.auto_kmeans(v.select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("v"))).withColumnRenamed("i", "vec_id")
-
-
 def column_labels(spark: SparkSession, d: str) -> DataFrame:
     scores = cut(conservation.scored(profile.count_vectors(sequences(spark, d)), ["jsd"]).where("canonical > 0").select("aln_id", "col", F.col("jsd").alias("score"), "total"))
     return labels.label_tally(labels.auto_labels(scores), scores)
@@ -157,7 +152,6 @@ def queries() -> dict:
         "density_peaks": density,
         "pair_density_peaks": lambda s, d: rounded(clustering.density_peaks(*_labelled_pairs(s, d))),
         "cluster_silhouettes": cluster_silhouettes,
-        "auto_kmeans": auto_clusters,
         "conservation_job": conservation_job,
         "peak_clusters": peaks,
         "hierarchic": lambda s, d: clustering.hierarchic_vectors(_labelled_vectors(s, d)),

@@ -33,3 +33,14 @@ def ungap(aligned: Column) -> Column:
 
 def canonicalise(aligned: Column) -> Column:
     return F.translate(ungap(aligned), "BZXUO*", "DEACKA")
+
+
+def substitutions(aligned: Column) -> Column:
+    """How many residues `canonicalise` replaces."""
+    return F.length(ungap(aligned)) - F.length(F.regexp_replace(aligned, f"[^{CANONICAL}]", ""))
+
+
+def ungapped_at(aligned: Column, col: Column) -> Column:
+    """Number, from 1, of the residue at a column from 0; null on a gap and outside the row."""
+    here = F.substring(aligned, col + 1, F.lit(1))
+    return F.when((col >= 0) & ~here.isin("-", ""), F.length(ungap(F.substring(aligned, F.lit(1), col + 1))))

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqgrid.functions.alphabet import ALPHABET, CANONICAL
+from seqgrid.functions.alphabet import ALPHABET, CANONICAL, HYDROPATHY
 
 #: Residue volumes, polarities, property classes, colour groups, pKa and their ends.
 VOLUME = {"A": 88.6, "C": 108.5, "D": 111.1, "E": 138.4, "F": 189.9, "G": 60.1, "H": 153.2, "I": 166.7, "K": 168.6, "L": 166.7, "M": 162.9, "N": 114.1, "P": 112.7, "Q": 143.8, "R": 173.4, "S": 89.0, "T": 116.1, "V": 140.0, "W": 227.8, "Y": 193.6}
@@ -49,6 +49,9 @@ RESIDUES = {
 
 CLASS_OF = {a: k for k, members in PROPERTY_CLASS.items() for a in members}
 GROUP_OF = {a: k for k, members in COLOUR_GROUP.items() for a in members}
+#: Each canonical residue as a class of its own, and hydropathy moved to 0 (hydrophilic) to 1 (hydrophobic).
+OWN_CLASS = {a: k for k, a in enumerate(CANONICAL, 1)}
+HYDRO_SCALE = {a: (x + 4.5) / 9 for a, x in HYDROPATHY.items()}
 
 
 def by_code(table: dict, code: Column, default=None) -> Column:
@@ -56,6 +59,11 @@ def by_code(table: dict, code: Column, default=None) -> Column:
     return F.element_at(F.array(*[F.lit(table.get(a, default)) for a in ALPHABET]), code + 1)
 
 
+def schemes(code: Column) -> dict[str, Column]:
+    """The static classes of a code: zappo, taylor, clustal and hydropathy; null where a scheme has none, clustal 0."""
+    return {"zappo": by_code(CLASS_OF, code), "taylor": by_code(OWN_CLASS, code), "clustal": by_code(GROUP_OF, code, 0), "hydropathy": by_code(HYDRO_SCALE, code)}
+
+
 def z_scored(table: dict[str, float]) -> dict[str, float]:
     mean = sum(table.values()) / len(table)
     sd = math.sqrt(sum((x - mean) ** 2 for x in table.values()) / len(table)) or 1.0

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqgrid.functions.alphabet import encode, ungap
+from seqgrid.functions.alphabet import canonicalise, encode, substitutions, ungap
 
 
 def to_cells(seqs: DataFrame) -> DataFrame:
@@ -25,6 +25,12 @@ def residue_map(cells: DataFrame) -> DataFrame:
     return cells.where("code > 0").select("aln_id", "row_ix", "col", (F.row_number().over(order) - 1).alias("residue_ix"))
 
 
+def running_index(cells: DataFrame) -> DataFrame:
+    """Cells with `ungapped`, the number of the residue within its row from 1; null on gaps. No window is wider than a row."""
+    upto = W.partitionBy("aln_id", "row_ix").orderBy("col").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return cells.withColumn("_n", F.sum(F.when(F.col("code") > 0, 1).otherwise(0)).over(upto)).withColumn("ungapped", F.when(F.col("code") > 0, F.col("_n"))).drop("_n")
+
+
 def gap_runs(cells: DataFrame) -> DataFrame:
     """(aln_id, row_ix, start, count) of neighbouring gaps."""
     order = W.partitionBy("aln_id", "row_ix").orderBy("col")
@@ -56,3 +62,10 @@ def substitute(aligned: Column, position: Column, to: Column) -> Column:
     s = ungap(aligned)
     ok = (position >= 1) & (position <= F.length(s)) & to.rlike("^[ACDEFGHIKLMNPQRSTVWY]$")
     return F.when(ok, F.concat(F.substring(s, F.lit(1), position - 1), to, F.substring(s, position + 1, F.length(s))))
+
+
+def fold_inputs(seqs: DataFrame) -> DataFrame:
+    """(aln_id, row_ix, sequence, raw, substitutions): rows as a structure predictor takes them, the ungapped text
+    before, and how many residues were replaced. Both texts have the same length, so places agree."""
+    a = F.col("aligned")
+    return seqs.select("aln_id", "row_ix", canonicalise(a).alias("sequence"), ungap(a).alias("raw"), substitutions(a).alias("substitutions"))

@@ -217,3 +217,34 @@ def conservation_job(seqs: DataFrame, methods: list[str], scores: DataFrame | No
     tracks = cut(scored(both, methods, scores).select("aln_id", "whole", group, "col", "total", each).select("aln_id", "whole", group, "col", "x.method", "x.score", "total"))
     labels = auto_labels(tracks.where("whole").select("aln_id", "method", "col", "score", "total"), "method").withColumn("whole", F.lit(True))
     return same_keys(tracks, labels, ["aln_id", "whole", "method", "col"], "left")
+
+
+def barcode(seqs: DataFrame, ranges: DataFrame | None = None, group: str = "grp") -> DataFrame:
+    """(aln_id, whole, group, col, conservation, gap_frac, feature): a lane of all rows and one of each group, the null group
+    included, over every column of the alignment.
+
+    conservation is the commonest residue's share of the residues in percent, null where a lane has none;
+    gap_frac counts rows that end earlier as gaps; feature says whether a range (aln_id, row_ix, col_from,
+    col_to) of the lane's rows covers the column, and is null without ranges. Rows are counted in one scan.
+    """
+    kind = dict(seqs.dtypes)[group]
+    none, lane = F.lit(None).cast(kind).alias(group), ["aln_id", "whole", group]
+    in_groups = lambda df: df.withColumn("whole", F.lit(False))
+    by_group = count_vectors(seqs, group)
+    whole = merged_counts(by_group, "aln_id").select("aln_id", F.lit(True).alias("whole"), none, "col", "n", "rows")
+    found = scored(whole.unionByName(in_groups(by_group)), []).select(*lane, "col", "total", "consensus_frac")
+    sizes = seqs.groupBy("aln_id", group).agg(F.count("*").alias("rows"))
+    sizes = in_groups(sizes).unionByName(sizes.groupBy("aln_id").agg(F.sum("rows").alias("rows")).select("aln_id", F.lit(True).alias("whole"), none, "rows"))
+    width = by_group.groupBy("aln_id").agg(F.max("col").alias("last"))
+    grid = same_keys(sizes, width, ["aln_id"]).select(*lane, "rows", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("col"))
+    lanes = same_keys(grid, found, [*lane, "col"], "left")
+    feature = F.lit(None).cast("boolean")
+    if ranges is not None:
+        own = same_keys(ranges.select("aln_id", "row_ix", "col_from", "col_to"), seqs.select("aln_id", "row_ix", group), ["aln_id", "row_ix"])
+        covered = own.select("aln_id", group, F.explode(F.sequence("col_from", F.col("col_to") - 1)).alias("col")).distinct()
+        covered = in_groups(covered).unionByName(covered.select("aln_id", F.lit(True).alias("whole"), none, "col").distinct())
+        lanes = same_keys(lanes, covered.withColumn("_covered", F.lit(True)), [*lane, "col"], "left")
+        feature = F.coalesce("_covered", F.lit(False))
+    total = F.coalesce("total", F.lit(0))
+    conservation = F.when(total > 0, F.col("consensus_frac") * 100)
+    return lanes.select(*lane, "col", conservation.alias("conservation"), ((F.col("rows") - total) / F.col("rows")).alias("gap_frac"), feature.alias("feature"))

@@ -5,12 +5,14 @@ from collections.abc import Iterator
 from re import _parser
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqgrid.functions.alphabet import ALPHABET, ungap
+from seqgrid.functions.joins import same_keys
 
 
 def find_motifs(seqs: DataFrame, regex: str) -> DataFrame:
@@ -31,6 +33,52 @@ def find_motifs(seqs: DataFrame, regex: str) -> DataFrame:
     return df.select("aln_id", "row_ix", "match_ix", F.col("m.s").alias("u_start"), F.col("m.e").alias("u_end"))
 
 
+def _sited(regex: str, names: list[str]):
+    compiled = re.compile(regex)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, nth, spans, places = [], [], [], []
+            for k, text in enumerate(batch.column("aligned").to_pylist()):
+                text = text or ""
+                found = [m.span() for m in compiled.finditer(text.replace("-", "")) if m.end() > m.start()]
+                if not found:
+                    continue
+                cols = np.flatnonzero(np.frombuffer(text.encode("latin-1", "replace"), np.uint8) != ord("-"))
+                at = np.array(found)
+                row += [k] * len(found)
+                nth += range(len(found))
+                spans.append(at)
+                places.append(np.stack([cols[at[:, 0]], cols[at[:, 1] - 1] + 1], axis=1))
+            both = np.hstack([np.concatenate(spans), np.concatenate(places)]) if row else np.empty((0, 4), np.int64)
+            take = pa.array(row, pa.int64())
+            keys = [batch.column(k).take(take) for k in ("aln_id", "row_ix")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(nth, pa.int32()), *(pa.array(both[:, c], pa.int32()) for c in range(4))], names=names)
+
+    return run
+
+
+def aligned_matches(seqs: DataFrame, regex: str) -> DataFrame:
+    """(aln_id, row_ix, match_ix, u_start, u_end, col_from, col_to): matches on the ungapped row, ends excluded, and the
+    columns from the first to behind the last residue, gaps inside included.
+
+    Rows are read once, in place: neither cells nor a map of residues are made.
+    """
+    kinds = dict(seqs.dtypes)
+    names = ["aln_id", "row_ix", "match_ix", "u_start", "u_end", "col_from", "col_to"]
+    return seqs.select("aln_id", "row_ix", "aligned").mapInArrow(_sited(regex, names), f"aln_id {kinds['aln_id']}, row_ix {kinds['row_ix']}, " + ", ".join(f"{n} int" for n in names[2:]))
+
+
+def in_scope(seqs: DataFrame, by_group: bool) -> DataFrame:
+    """The rows that a pattern is looked for in: all, or the first row of each group; all rows of an alignment without groups."""
+    if not by_group:
+        return seqs
+    first = seqs.where("grp is not null").groupBy("aln_id", "grp").agg(F.min("row_ix").alias("row_ix"))
+    chosen = same_keys(seqs, first.select("aln_id", "grp", "row_ix"), ["aln_id", "grp", "row_ix"], "left_semi")
+    grouped = first.select("aln_id").distinct()
+    return chosen.unionByName(same_keys(seqs, grouped, ["aln_id"], "left_anti"))
+
+
 #: Bytes of patterns that tasks hold at most.
 MAX_PATTERN_BYTES = 16 << 20
 

@@ -137,11 +137,3 @@ def group_tracks(cells: DataFrame) -> DataFrame:
         " where code between 1 and 20 group by grouping sets ((aln_id, col, code), (aln_id, grp, col, code))"
     )
     return sets.groupBy("aln_id", "whole", "grp", "col").agg((F.max("n") / F.sum("n") * 100).alias("score"), F.sum("n").alias("n"))
-
-
-def barcode_lanes(cells: DataFrame, seqs: DataFrame) -> DataFrame:
-    """Per group and column: conservation and gap share; rows that end earlier count as gaps."""
-    stats = column_stats(column_counts(cells, "grp"), "grp")
-    rows = seqs.groupBy("aln_id", "grp").agg(F.count("*").alias("rows"))
-    df = stats.join(rows, ["aln_id", "grp"])
-    return df.select("aln_id", "grp", "col", (F.col("consensus_frac") * 100).alias("conservation"), ((F.col("rows") - F.col("total")) / F.col("rows")).alias("gap_frac"))

@@ -90,6 +90,26 @@ def saturation(residues: DataFrame, seqs: DataFrame) -> DataFrame:
     return df.select("seq_name", "position", "from_aa", "to_aa", "aln_id", "row_ix", "col")
 
 
+def impact_band(score: Column) -> Column:
+    return F.when(score < 34, "low").when(score < 67, "medium").when(score.isNotNull(), "high")
+
+
+def variants_at(sited: DataFrame, order: str) -> DataFrame:
+    """(aln_id, row_ix, col, from_aa, to_aa, score, band): the first variant at each cell by the order column, of placed variants with a score.
+
+    from_aa is the one stated, else the residue there. Without a score, score and band are null.
+    """
+    told = F.struct(F.coalesce("from_aa", "wild", F.lit("\u00b7")).alias("from_aa"), "to_aa", "score")
+    first = sited.where("col is not null").groupBy("aln_id", "row_ix", "col").agg(F.min_by(told, F.col(order)).alias("v")).select("aln_id", "row_ix", "col", "v.*")
+    return first.withColumn("band", impact_band(F.col("score")))
+
+
+def markers(sited: DataFrame) -> DataFrame:
+    """(aln_id, row_ix, col, seq_name, position, to_aa, score, band): a pin for each placed variant; no score counts as 0."""
+    score = F.coalesce("score", F.lit(0)).alias("score")
+    return sited.where("col is not null").select("aln_id", "row_ix", "col", "seq_name", "position", "to_aa", score).withColumn("band", impact_band(F.col("score")))
+
+
 def score_variants(sited: DataFrame, stats: DataFrame, track: DataFrame, scores: DataFrame) -> DataFrame:
     """(..., ref, score 0..100, kind, confidence, note, band) of placed variants.
 
@@ -111,4 +131,4 @@ def score_variants(sited: DataFrame, stats: DataFrame, track: DataFrame, scores:
     said = F.concat(F.lit("conserved "), F.floor(F.col("cons") + 0.5).cast("string"), F.lit(" \u00b7 "), F.when(same & ~gap, "synonymous (no residue change)").otherwise(change))
     note = F.when(F.col("cons").isNull(), "position not mapped to a column").otherwise(said)
     out = df.select(*sited.columns, decode(F.col("a")).alias("ref"), score.alias("score"), kind.alias("kind"), F.coalesce(F.col("cons") / 100, F.lit(0.0)).alias("confidence"), note.alias("note"))
-    return out.withColumn("band", F.when(F.col("score") < 34, "low").when(F.col("score") < 67, "medium").otherwise("high"))
+    return out.withColumn("band", impact_band(F.col("score")))

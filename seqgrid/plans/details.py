@@ -81,12 +81,11 @@ def queries() -> dict:
 
 
 _BAND = "case when score < 34 then 'low' when score < 67 then 'medium' when score is not null then 'high' end"
-_RANGES = rf"""rm as (select aln_id, row_ix, grp, col, row_number() over (partition by aln_id, row_ix order by col) - 1 as r from cells where code > 0),
-u as (select aln_id, row_ix, string_split(regexp_replace(replace(aligned, '-', ''), '({MOTIF})', '<\1>', 'g'), '<') as parts from seqs),
-x as (select *, unnest(range(2, len(parts) + 1)) as k from u),
-m as (select aln_id, row_ix, (k - 2)::int as match_ix, length(replace(array_to_string(parts[1:k - 1], ''), '>', ''))::int as s, (s + instr(parts[k], '>') - 1)::int as e from x),
-rg as (select m.aln_id, m.row_ix, a.grp, match_ix, s as u_start, e as u_end, a.col::int as col_from, (b.col + 1)::int as col_to
-  from m join rm a on a.aln_id is not distinct from m.aln_id and a.row_ix = m.row_ix and a.r = s join rm b on b.aln_id is not distinct from m.aln_id and b.row_ix = m.row_ix and b.r = e - 1)"""
+_RANGES = rf"""lt as (select aln_id, row_ix, grp, list_filter(list_transform(string_split(aligned, ''), lambda x, i: case when x <> '-' then i - 1 end), lambda v: v is not null) as cols,
+  string_split(regexp_replace(replace(aligned, '-', ''), '({MOTIF})', '<\1>', 'g'), '<') as parts from seqs),
+x as (select *, unnest(range(2, len(parts) + 1)) as k from lt),
+rg as (select aln_id, row_ix, grp, (k - 2)::int as match_ix, length(replace(array_to_string(parts[1:k - 1], ''), '>', ''))::int as u_start, (u_start + instr(parts[k], '>') - 1)::int as u_end,
+  cols[u_start + 1]::int as col_from, (cols[u_end] + 1)::int as col_to from x)"""
 
 
 def oracle_sql() -> dict:
@@ -124,7 +123,7 @@ def oracle_sql() -> dict:
         + "".join(f" left join {t} on {t}.aln_id is not distinct from gr.aln_id and {t}.whole = gr.whole and {t}.grp is not distinct from gr.grp and {t}.col = gr.col" for t in ("gs", "ft")),
         "block_edits": SQL + ", a as (select row_ix, aligned as old, case when row_ix % 4 = 1 then substr(aligned, 1, 30) || '--' || substr(aligned, 31) else aligned end as x from seqs), b as (select *, case when row_ix % 3 = 0 then substr(x, 1, 5) || substr(substr(x, 6), least(length(regexp_extract(substr(x, 6), '^-*')), 3) + 1) else x end as y from a)"
         " select row_ix, md5(y) as aligned, x <> old as inserted, y <> x as deleted from b",
-        "pair_lookup": SQL + f", pq as (select a.aln_id, a.row_ix as i, b.row_ix as j from seqs a join seqs b on a.aln_id is not distinct from b.aln_id and b.row_ix - a.row_ix in {STEPS}),"
-        " ct as (select pq.aln_id, i, j, sum((a.code = b.code)::int) as same, count(*) as compared from pq join cells a on a.aln_id is not distinct from pq.aln_id and a.row_ix = i join cells b on b.aln_id is not distinct from pq.aln_id and b.row_ix = j and a.col = b.col where a.code > 0 and b.code > 0 group by all)"
-        f" select pq.aln_id, pq.i, pq.j, coalesce(same, 0)::bigint as same, coalesce(compared, 0)::bigint as compared, {_R('coalesce(100 * same / compared::double, 0)', 'pct')} from pq left join ct on ct.i = pq.i and ct.j = pq.j and ct.aln_id is not distinct from pq.aln_id",
+        "pair_lookup": SQL + f", pq as (select a.aln_id, a.row_ix as i, b.row_ix as j, list_zip(string_split(a.aligned, ''), string_split(b.aligned, '')) as z from seqs a join seqs b on a.aln_id is not distinct from b.aln_id and b.row_ix - a.row_ix in {STEPS}),"
+        " met as (select aln_id, i, j, list_filter(z, lambda t: coalesce(t[1], '-') <> '-' and coalesce(t[2], '-') <> '-') as z from pq), ct as (select aln_id, i, j, len(list_filter(z, lambda t: t[1] = t[2])) as same, len(z) as compared from met)"
+        f" select aln_id, i, j, same, compared, {_R('case when compared > 0 then 100 * same / compared::double else 0 end', 'pct')} from ct",
     }

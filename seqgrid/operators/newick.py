@@ -31,9 +31,10 @@ def parse_trees(trees: DataFrame, replicates: int = 0) -> DataFrame:
     no nodes.
     """
     newick, pairs = _plain(F.col("text"))
-    raw = trees.select("tree_id", pairs.alias("pairs"), F.posexplode(F.regexp_extract_all(newick, F.lit(_TOKEN), F.lit(0))).alias("at", "t")).where("trim(t) != ''")
-    # The start of the text counts as a bracket around the root.
-    raw = raw.unionByName(raw.select("tree_id", "pairs").distinct().select("tree_id", "pairs", F.lit(-1).alias("at"), F.lit("").alias("t")))
+    # Tokens are cut out once a text, before they become rows: no row carries the text. A start token counts as a bracket around the root.
+    tokens = F.regexp_extract_all(newick, F.lit(_TOKEN), F.lit(0))
+    cut_out = trees.select("tree_id", pairs.alias("pairs"), tokens.alias("tokens")).where(F.exists("tokens", lambda t: F.trim(t) != ""))
+    raw = cut_out.select("tree_id", "pairs", F.posexplode(F.concat(F.array(F.lit("")), "tokens")).alias("at", "t")).where("at = 0 or trim(t) != ''").withColumn("at", F.col("at") - 1)
     order = W.partitionBy("tree_id").orderBy("at")
     opens, closes = F.col("t") == "(", F.col("t") == ")"
     deep = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0))

@@ -27,7 +27,7 @@ def cell_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def running_index(spark: SparkSession, d: str) -> DataFrame:
-    return c.running_index(c.to_cells(sequences(spark, d))).select("aln_id", "row_ix", "col", "ungapped")
+    return c.row_index(sequences(spark, d))
 
 
 def fold_inputs(spark: SparkSession, d: str) -> DataFrame:

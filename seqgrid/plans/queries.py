@@ -66,8 +66,8 @@ def queries() -> dict:
         "jsd_track": lambda s, d: _track(s, d, "jsd"),
         "group_tracks": group_tracks,
         "barcode_lanes": barcode_lanes,
-        "residue_map": lambda s, d: c.residue_map(_cells(s, d)),
-        "gap_runs": lambda s, d: c.gap_runs(_cells(s, d)),
+        "residue_map": lambda s, d: c.row_residues(sequences(s, d)),
+        "gap_runs": lambda s, d: c.row_gap_runs(sequences(s, d)),
         "gap_only_cols": lambda s, d: c.gap_only_columns(_cells(s, d)),
         "to_rows": lambda s, d: c.to_rows(_cells(s, d)).select("aln_id", "row_ix", F.md5("aligned").alias("aligned")),
         "fasta_wrap": lambda s, d: fasta_records(sequences(s, d)).select(F.md5("value").alias("value")),

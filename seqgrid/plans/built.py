@@ -108,8 +108,8 @@ def moved(spark: SparkSession, d: str) -> DataFrame:
 
 
 def match_list(spark: SparkSession, d: str) -> DataFrame:
-    s = sequences(spark, d)
-    return motif.match_list(rows.aligned_motifs(motif.find_motifs(s, "A{1,2}N"), c.residue_map(c.to_cells(s))))
+    s = sequences(spark, d).where("aln_id is not null")
+    return motif.match_list(motif.aligned_matches(s, "A{1,2}N"))
 
 
 def _versioned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -30,8 +30,7 @@ def clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def partners(spark: SparkSession, d: str) -> DataFrame:
-    s = sequences(spark, d)
-    return groups.best_partners(identity.pair_identity(s), s)
+    return identity.row_partners(sequences(spark, d))
 
 
 def bootstrap_draws(spark: SparkSession, d: str) -> DataFrame:
@@ -42,8 +41,7 @@ def bootstrap_draws(spark: SparkSession, d: str) -> DataFrame:
 
 def motif_coverage(spark: SparkSession, d: str) -> DataFrame:
     s = sequences(spark, d)
-    found = rows.aligned_motifs(motif.find_motifs(s, "A{1,2}N"), c.residue_map(c.to_cells(s)))
-    return rows.coverage(found, s)
+    return rows.coverage(motif.aligned_matches(s.where("aln_id is not null"), "A{1,2}N"), s)
 
 
 def external_scores(spark: SparkSession, d: str) -> DataFrame:

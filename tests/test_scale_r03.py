@@ -50,3 +50,43 @@ def test_tokens_carry_no_text(spark):
     generate = next(x for x in _plan(df).splitlines() if "Generate posexplode" in x)
     assert "text#" not in generate
     assert "regexp_extract_all" not in generate
+
+
+def _pairs_by_hand(texts: list[str]) -> dict:
+    out = {}
+    for i, a in enumerate(texts):
+        for j in range(i + 1, len(texts)):
+            met = [(x, y) for x, y in zip(a, texts[j]) if x != "-" and y != "-"]
+            out[i, j] = (sum(x == y for x, y in met), len(met))
+    return out
+
+
+def test_pairs_leave_tasks_whole(spark, monkeypatch):
+    monkeypatch.setattr(identity, "BLOCK", 4)
+    monkeypatch.setattr(identity, "TILE", 3)
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("ACD-"), n)) for n in (0, 3, 4, 9, 17, 17, 5, 12, 1, 16)]
+    s = spark.createDataFrame([("a", k, f"n{k}", "x" if k % 3 else None, t) for k, t in enumerate(texts)] + [(None, 0, "n", None, "AC"), (None, 1, "n", None, "AD")], SEQ)
+    found = identity.pair_counts(s)
+    by_hand = _pairs_by_hand(texts)
+    assert {(r.i, r.j): (r.same, r.compared) for r in found.where("aln_id = 'a'").collect()} == by_hand
+    assert [(r.i, r.j, r.same, r.compared) for r in found.where("aln_id is null").collect()] == [(0, 1, 1, 2)]
+    # Counts are whole when they leave the task: nothing adds up pairs behind it.
+    assert "same#" not in _plan(found).split("MapInArrow")[0] or "Aggregate" not in _plan(found).split("MapInArrow")[0]
+    pct = {p: 100 * s / c if c else 0.0 for p, (s, c) in by_hand.items()}
+    r = identity.identity_summary(identity.pair_identity(s)).where("aln_id = 'a'").first()
+    by_tiles = identity.row_summary(s).where("aln_id = 'a'").first()
+    assert (by_tiles.min_i, by_tiles.min_j, by_tiles.max_i, by_tiles.max_j, by_tiles.pairs) == (r.min_i, r.min_j, r.max_i, r.max_j, r.pairs)
+    assert (by_tiles.mean, by_tiles.sd) == (pytest.approx(r.mean), pytest.approx(r.sd))
+    low, high = min(pct.items(), key=lambda x: (x[1], x[0])), min(pct.items(), key=lambda x: (-x[1], x[0]))
+    assert (r.min_i, r.min_j, r.max_i, r.max_j, r.pairs) == (*low[0], *high[0], 45)
+    assert r.mean == pytest.approx(np.mean([*pct.values()])) and r.sd == pytest.approx(np.std([*pct.values()]))
+
+
+def test_partners_by_tiles(spark, monkeypatch):
+    from seqgrid.operators import groups
+
+    monkeypatch.setattr(identity, "TILE", 3)
+    s = spark.createDataFrame([("a", k, f"n{k}", g, t) for k, (g, t) in enumerate([("x", "AC"), ("x", "AD"), ("y", "AC"), (None, "--"), ("y", "CD"), ("x", "C"), (None, "AD")])] + [("b", 9, "n", "x", "A")], SEQ)
+    order = sorted(groups.best_partners(identity.pair_identity(s), s).collect())
+    assert sorted(identity.row_partners(s).collect()) == order

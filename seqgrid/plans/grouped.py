@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqgrid.functions.residues import CLASS_OF
-from seqgrid.operators import bootstrap, features, groups, identity, motif, rows, trees, variants
+from seqgrid.operators import bootstrap, clustering, features, groups, identity, motif, rows, trees, variants
 from seqgrid.operators import cells as c
 from seqgrid.plans.bridge import SQL, sequences
 from seqgrid.plans.more import _CODE, _R, _TREE, _VARIANTS, _case, rounded, variant_rows
@@ -19,9 +19,9 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def silhouettes(spark: SparkSession, d: str) -> DataFrame:
     """How well the vectors of each label part by the remainder of their id by 3."""
-    v = _vectors(spark, d)
-    members = v.select("label", F.col("vec_id").alias("i"), (F.col("vec_id") % 3).alias("cluster"))
-    return rounded(groups.silhouette(features.euclidean(v), members, "label"))
+    parts = F.array((F.col("vec_id") % 3).cast("int")).alias("clusters")
+    rows = _vectors(spark, d).select(F.col("label").alias("aln_id"), F.col("vec_id").alias("row_ix"), F.col("embedding").cast("array<double>").alias("v"), parts)
+    return rounded(clustering.silhouettes(rows).select(F.col("aln_id").alias("label"), "silhouette"))
 
 
 def clusters(spark: SparkSession, d: str) -> DataFrame:

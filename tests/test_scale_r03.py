@@ -90,3 +90,30 @@ def test_partners_by_tiles(spark, monkeypatch):
     s = spark.createDataFrame([("a", k, f"n{k}", g, t) for k, (g, t) in enumerate([("x", "AC"), ("x", "AD"), ("y", "AC"), (None, "--"), ("y", "CD"), ("x", "C"), (None, "AD")])] + [("b", 9, "n", "x", "A")], SEQ)
     order = sorted(groups.best_partners(identity.pair_identity(s), s).collect())
     assert sorted(identity.row_partners(s).collect()) == order
+
+
+class _Seen(tiles.Visitor):
+    """How many rows, itself included, a row meets, and in how many packs."""
+
+    def start(self, ids, v, *columns):
+        super().start(ids, v, *columns)
+        self.rows, self.packs = 0, 0
+
+    def meet(self, ids, v, *columns):
+        assert (v[:, 0] == ids).all() and (self.v[:, 0] == self.ids).all()
+        self.rows, self.packs = self.rows + len(ids), self.packs + 1
+
+    def end(self):
+        return [[self.rows] * len(self.ids), [len(self.ids)] * len(self.ids)]
+
+
+def test_a_tile_holds_many_packs(spark):
+    from pyspark import cloudpickle
+    import sys
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    rows = spark.range(100).select(F.lit("a").alias("aln_id"), F.col("id").alias("row_ix"), F.array(F.col("id").cast("double")).alias("v"))
+    rows = rows.unionByName(rows.where("row_ix < 3").withColumn("aln_id", F.lit(None).cast("string")))
+    got = tiles.streamed(rows, [], _Seen, "met bigint, own bigint", tile=5, own=4).collect()
+    assert len(got) == 103 and {r.met for r in got if r.aln_id == "a"} == {100} and {r.met for r in got if r.aln_id is None} == {3}
+    assert max(r.own for r in got) > 5

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqgrid.operators import cells, columns, identity, motif, newick, profile, rows, tiles, trees
-from seqgrid.plans import built, details, grouped, queries
+from seqgrid.operators import cells, identity, newick, tiles
+from seqgrid.plans import built, grouped
 
 SEQ = "aln_id string, row_ix int, name string, grp string, aligned string"
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seqgrid.functions.lineage import cut
 from seqgrid.operators import cells, identity, newick, tiles
 from seqgrid.plans import built, grouped
 
@@ -117,3 +118,12 @@ def test_a_tile_holds_many_packs(spark):
     got = tiles.streamed(rows, [], _Seen, "met bigint, own bigint", tile=5, own=4).collect()
     assert len(got) == 103 and {r.met for r in got if r.aln_id == "a"} == {100} and {r.met for r in got if r.aln_id is None} == {3}
     assert max(r.own for r in got) > 5
+
+
+def test_cut_hands_on_no_estimated_size(spark):
+    """Sizes that joins multiply had digits that doubled with each round, until the planner never ended."""
+    df = cut(spark.range(50).select(F.col("id").alias("k"), F.lit(None).alias("nothing")))
+    for _ in range(4):
+        df = cut(df.join(df.select("k", F.col("k").alias("other")), "k").select("k", "nothing"))
+    assert int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 2**40
+    assert df.count() == 50 and df.where("nothing is not null").isEmpty()

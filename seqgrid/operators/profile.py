@@ -13,8 +13,9 @@ from seqgrid.functions.alphabet import ALPHABET, BACKGROUND
 from seqgrid.functions.joins import same_keys
 from seqgrid.functions.lineage import cut
 
-#: Columns of counts that a task holds before it hands them on.
+#: Columns of counts that a task holds before it hands them on, and the columns of a batch that it hands on.
 _HELD = 1_000_000
+_HANDED = 20_000
 
 
 def _counted(keys: list[str]):
@@ -26,17 +27,23 @@ def _counted(keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
         rows: dict[tuple, int] = {}
-        types = None
+        types, size = None, 0
+
+        def batch_of(key: tuple, cols: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            flat = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * len(ALPHABET), pa.array(n.ravel()))
+            return pa.RecordBatch.from_arrays([*(pa.array([k] * len(n), t) for k, t in zip(key, types, strict=True)), pa.array(cols, pa.int32()), flat], names=[*keys, "col", "n"])
 
         def handed() -> Iterator[pa.RecordBatch]:
-            for key, counts in held.items():
-                at = np.flatnonzero(counts.any(axis=1))
-                n = np.concatenate([np.zeros((1, len(ALPHABET)), np.int64), counts[at]])
-                n[0, 0] = rows[key]
-                flat = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * len(ALPHABET), pa.array(n.ravel()))
-                yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(n), t) for k, t in zip(key, types, strict=True)), pa.array(np.concatenate([[-1], at]), pa.int32()), flat], names=[*keys, "col", "n"])
-            held.clear()
-            rows.clear()
+            while held:
+                key, counts = held.popitem()
+                whole = np.zeros((1, len(ALPHABET)), np.int64)
+                whole[0, 0] = rows.pop(key)
+                yield batch_of(key, np.array([-1]), whole)
+                for start in range(0, len(counts), _HANDED):
+                    part = counts[start : start + _HANDED]
+                    at = np.flatnonzero(part.any(axis=1))
+                    if len(at):
+                        yield batch_of(key, start + at, part[at].astype(np.int64))
 
         for batch in batches:
             types = [batch.column(k).type for k in keys]
@@ -46,13 +53,18 @@ def _counted(keys: list[str]):
                 rows[key] = rows.get(key, 0) + 1
                 counts = held.get(key)
                 if counts is None or len(counts) < len(codes):
-                    grown = np.zeros((max(len(codes), 2 * (0 if counts is None else len(counts))), len(ALPHABET)), np.int64)
+                    before = 0 if counts is None else len(counts)
+                    # A quarter more than before, so that little is held that no row reaches; a task's rows fit 32 bits.
+                    grown = np.zeros((max(len(codes), before + before // 4), len(ALPHABET)), np.uint32)
                     if counts is not None:
-                        grown[: len(counts)] = counts
+                        grown[:before] = counts
                     counts = held[key] = grown
+                    size += len(grown) - before
                 counts[np.arange(len(codes)), codes] += 1
-                if sum(map(len, held.values())) > _HELD:
+                if size > _HELD:
+                    del counts
                     yield from handed()
+                    size = 0
         yield from handed()
 
     return run

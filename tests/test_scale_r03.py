@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqgrid.functions.alphabet import ALPHABET
 from seqgrid.functions.lineage import cut
-from seqgrid.operators import cells, identity, newick, profile, tiles
+from seqgrid.operators import cells, features, identity, newick, profile, tiles
 from seqgrid.plans import built, grouped
 
 SEQ = "aln_id string, row_ix int, name string, grp string, aligned string"
@@ -146,3 +146,14 @@ def test_column_counts_are_handed_on_in_small_batches(monkeypatch):
         for col, code in [(-1, 0), *enumerate(map(ALPHABET.index, text))]:
             want.setdefault((k, col), np.zeros(len(ALPHABET), int))[code] += 1
     assert {k: n.tolist() for k, n in found.items()} == {k: n.tolist() for k, n in want.items()}
+
+
+def test_composition_reads_a_text_once(spark):
+    """Each residue was a pass of its own over the text, made again for the total."""
+    rows = spark.createDataFrame([("a", 0, "AAC-X"), (None, 1, ""), ("a", 2, None)], "aln_id string, row_ix int, aligned string")
+    df = features.composition(rows)
+    assert "replace(" not in _plan(df)
+    assert df.dtypes == [("aln_id", "string"), ("row_ix", "int"), ("residue", "string"), ("n", "int"), ("share", "double")]
+    found = {(r["row_ix"], r["residue"]): (r["n"], r["share"]) for r in df.collect()}
+    assert len(found) == 60 and found[0, "A"] == (2, 2 / 3) and found[0, "C"] == (1, 1 / 3) and found[0, "D"] == (0, 0.0)
+    assert found[1, "A"] == (0, 0.0) and found[2, "Y"] == (None, 0.0)

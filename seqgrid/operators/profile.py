@@ -13,8 +13,8 @@ from seqgrid.functions.alphabet import ALPHABET, BACKGROUND
 from seqgrid.functions.joins import same_keys
 from seqgrid.functions.lineage import cut
 
-#: Columns of counts that a task holds before it hands them on, and the columns of a batch that it hands on.
-_HELD = 1_000_000
+#: Letters that a task holds before it counts them, and the columns of a batch that it hands on.
+_HELD = 32_000_000
 _HANDED = 20_000
 
 
@@ -25,8 +25,7 @@ def _counted(keys: list[str]):
         code[ord(ch)] = k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, np.ndarray] = {}
-        rows: dict[tuple, int] = {}
+        held: dict[tuple, list[np.ndarray]] = {}
         types, size = None, 0
 
         def batch_of(key: tuple, cols: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -35,34 +34,29 @@ def _counted(keys: list[str]):
 
         def handed() -> Iterator[pa.RecordBatch]:
             while held:
-                key, counts = held.popitem()
+                key, texts = held.popitem()
                 whole = np.zeros((1, len(ALPHABET)), np.int64)
-                whole[0, 0] = rows.pop(key)
+                whole[0, 0] = len(texts)
                 yield batch_of(key, np.array([-1]), whole)
-                for start in range(0, len(counts), _HANDED):
-                    part = counts[start : start + _HANDED]
-                    at = np.flatnonzero(part.any(axis=1))
+                texts.sort(key=len, reverse=True)
+                for start in range(0, len(texts[0]), _HANDED):
+                    counts = np.zeros((min(_HANDED, len(texts[0]) - start), len(ALPHABET)), np.uint32)  # a task's rows fit 32 bits
+                    for letters in texts:
+                        if len(letters) <= start:
+                            break
+                        codes = code[letters[start : start + _HANDED]]
+                        counts[np.arange(len(codes)), codes] += 1
+                    at = np.flatnonzero(counts.any(axis=1))
                     if len(at):
-                        yield batch_of(key, start + at, part[at].astype(np.int64))
+                        yield batch_of(key, start + at, counts[at].astype(np.int64))
 
         for batch in batches:
             types = [batch.column(k).type for k in keys]
             for *key, text in zip(*(batch.column(k).to_pylist() for k in keys), batch.column("aligned").to_pylist(), strict=True):
-                key = tuple(key)
-                codes = code[np.frombuffer((text or "").encode("latin-1", "replace"), np.uint8)]
-                rows[key] = rows.get(key, 0) + 1
-                counts = held.get(key)
-                if counts is None or len(counts) < len(codes):
-                    before = 0 if counts is None else len(counts)
-                    # A quarter more than before, so that little is held that no row reaches; a task's rows fit 32 bits.
-                    grown = np.zeros((max(len(codes), before + before // 4), len(ALPHABET)), np.uint32)
-                    if counts is not None:
-                        grown[:before] = counts
-                    counts = held[key] = grown
-                    size += len(grown) - before
-                counts[np.arange(len(codes)), codes] += 1
+                letters = np.frombuffer((text or "").encode("latin-1", "replace"), np.uint8)
+                held.setdefault(tuple(key), []).append(letters)
+                size += len(letters) + 128  # an array has a size of its own
                 if size > _HELD:
-                    del counts
                     yield from handed()
                     size = 0
         yield from handed()

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,53 @@ def test_zones_and_global_gaps(spark):
     assert at(identity.identity_distance(df, zones=zones))[0, 1] == (3, 5)
     assert at(identity.identity_distance(df, ungapped=full)) == {(0, 1): (2, 3), (0, 2): (3, 3), (1, 2): (2, 3)}
     assert at(identity.identity_distance(df, full, zones))[0, 1] == (2, 4)
+
+
+def _shape(nodes):
+    """node_id -> (parent, place, name), and the lengths."""
+    rows = nodes.to_dict("records")
+    return [(None if r["parent_id"] != r["parent_id"] or r["parent_id"] is None else int(r["parent_id"]), r["child_ix"], r["name"]) for r in rows], [r["length"] for r in rows]
+
+
+@pytest.mark.parametrize(("n", "kind"), [(3, "plain"), (40, "plain"), (40, "ties"), (150, "uneven"), (90, "copies")])
+def test_joining_by_rows_equals_joining_of_the_square(n, kind):
+    r = np.random.default_rng(n)
+    d = r.random((n, n))
+    if kind == "ties":
+        d = r.integers(1, 3, (n, n)) / 2.0
+    elif kind == "uneven":
+        d *= r.random(n)[:, None] * r.random(n)[None, :] * 5
+    elif kind == "copies":
+        x = r.random((n // 3, 4))[r.integers(0, n // 3, n)]
+        d = np.abs(x[:, None] - x[None, :]).sum(axis=2) + r.random((n, n)) * 1e-6
+    d = np.triu(d, 1) + np.triu(d, 1).T
+    names = [f"s{i}" for i in range(n)]
+    (want, lengths), (got, by_rows) = _shape(joining._joined(names, d)), _shape(joining._joined_by_rows(names, d.copy(), tail=4))
+    assert got == want and by_rows == pytest.approx(lengths, abs=1e-9)
+
+
+def test_large_families_are_joined_and_not_refused(spark, monkeypatch):
+    """Families of more than 2000 rows were refused with an error."""
+    assert not hasattr(joining, "MAX_ROWS")
+    r = random.Random(5)
+    rows = [(a, 10 * i, f"{a}{i}") for a, n in (("x", 9), (None, 7), ("y", 1)) for i in range(n)]
+    met = [(a, i, j, r.random()) for a, i, _ in rows for b, j, _ in rows if a == b and i < j]
+    members = spark.createDataFrame(rows, "tree_id string, row_ix int, name string")
+    pairs = spark.createDataFrame(met, "tree_id string, i int, j int, dist double")
+    tree = lambda: sorted(((x.tree_id or "", x.node_id, x.parent_id, x.child_ix, x.name, round(x.length, 9)) for x in joining.neighbor_join(members, pairs, "tree_id").collect()), key=str)
+    want = tree()
+    assert len(want) == 17 + 13 + 1
+    many = joining._Family()
+    monkeypatch.setattr(joining, "HELD_ROWS", 4)
+    n = 30
+    part = lambda pair, i, j, dist, name: pa.RecordBatch.from_arrays([pa.array([pair] * len(i)), pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(dist, pa.float64()), pa.array(name, pa.string())], names=["_pair", "i", "j", "dist", "name"])
+    many.take(part(False, list(range(n)), [None] * n, [None] * n, [f"s{i}" for i in range(n)]))
+    at = [(i, j, r.random()) for i in range(n) for j in range(i + 1, n)]
+    for k in range(0, len(at), 50):
+        i, j, x = (list(c) for c in zip(*at[k : k + 50], strict=True))
+        many.take(part(True, i, j, x, [None] * len(i)))
+    d = np.zeros((n, n))
+    for i, j, x in at:
+        d[i, j] = d[j, i] = x
+    assert many.file is not None and isinstance(many.square, np.memmap)
+    assert _shape(many.tree())[0] == _shape(joining._joined([f"s{i}" for i in range(n)], d))[0]

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqgrid.functions.lineage import cut
+from seqgrid.operators.listing import digests
 
 #: Aggregate of what lies below a node, and how it joins the node's own value.
 _JOINED = {
@@ -148,21 +149,71 @@ def patristic(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.withColumn("dist", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("dist")))
 
 
-def paths(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(tree_id, a, b, node_id): nodes from a to b through their last common ancestor, all three included.
+def chains(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node_id, level, chain, pos, up, top): ways down that follow the largest subtree, so few of them make up any path.
 
-    A row for each step from either end finds its node by the jumps whose sum is the step.
+    A node is at place pos of its chain, from 0; up is the parent of the chain's first node, null at a root, top that
+    node's level.
     """
     tree = _tree(nodes)
-    met, _, jumps = lowest_common(nodes, pairs)
-    met = met.where("lca is not null")
-    up = lambda end, last: met.select(*tree, "a", "b", F.col(end).alias("node_id"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("left"))
-    a_steps, b_steps = F.col("level_a") - F.col("level_lca"), F.col("level_b") - F.col("level_lca")
-    steps = up("a", a_steps).unionByName(up("b", b_steps))
-    for k, jump in enumerate(jumps):
-        taken = F.shiftright("left", k).bitwiseAND(F.lit(1).cast("long")) == 1
-        steps = cut(steps.join(jump, [*tree, "node_id"], "left").withColumn("node_id", F.when(taken, F.col("anc")).otherwise(F.col("node_id"))).drop("anc"))
-    return steps.drop("left").distinct()
+    key = [*tree, "node_id"]
+    one = F.lit(1).cast("long")
+    found, _ = lift(nodes, {"level": one}, {"size": (one, "sum")})
+    base = cut(nodes.select(*key, "parent_id").join(found, key).withColumn("_nr", F.monotonically_increasing_id() + 1))
+    largest = base.groupBy(*tree, "parent_id").agg(F.max(F.struct("size", "node_id"))["node_id"].alias("node_id"))
+    parents = base.select(*tree, F.col("node_id").alias("parent_id"))
+    follows = largest.join(parents, [*tree, "parent_id"], "left_semi").select(*key, F.lit(True).alias("_follows"))
+    marked = base.join(follows, key, "left")
+    linked = marked.select(*key, F.when(F.col("_follows"), F.col("parent_id")).alias("parent_id"), F.when(F.col("_follows"), 0).otherwise(F.col("_nr")).alias("_first"))
+    placed, _ = lift(linked, {"pos": one, "chain": F.col("_first")})
+    df = cut(base.select(*key, "parent_id", "level").join(placed, key).withColumn("pos", F.col("pos") - 1))
+    tops = df.where("pos = 0").select(*tree, "chain", F.col("parent_id").alias("up"), F.col("level").alias("top"))
+    return cut(df.drop("parent_id").join(tops, [*tree, "chain"]))
+
+
+def path_ranges(placed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(tree_id, a, b, ranges): the stretches (list, lo, hi) of `chains` that make up the path of each pair.
+
+    The end whose chain starts lower climbs to the node above that chain until both ends are in one. Pairs of an
+    unknown node or without a common ancestor are left out.
+    """
+    tree = _tree(placed)
+    info = ["chain", "pos", "up", "top"]
+    of = lambda node, name: placed.select(*tree, F.col("node_id").alias(node), *[F.col(c).alias(f"{name}_{c}") for c in info])
+    stretch = lambda chain, lo, hi: F.array(F.struct(F.col(chain).alias("list"), lo.alias("lo"), hi.alias("hi")))
+    df = pairs.select(*tree, "a", "b").distinct().join(of("a", "x"), [*tree, "a"]).join(of("b", "y"), [*tree, "b"])
+    df = cut(df.withColumn("ranges", F.expr("cast(array() as array<struct<list:bigint,lo:bigint,hi:bigint>>)")))
+    out = None
+    while True:
+        met = df.where("x_chain = y_chain")
+        met = met.select(*tree, "a", "b", F.concat("ranges", stretch("x_chain", F.least("x_pos", "y_pos"), F.greatest("x_pos", "y_pos"))).alias("ranges"))
+        out = met if out is None else out.unionByName(met)
+        df = df.where("x_chain != y_chain")
+        if df.isEmpty():
+            return out
+        first = F.col("x_top") >= F.col("y_top")
+        zero = F.lit(0).cast("long")
+        climbed = F.when(first, stretch("x_chain", zero, F.col("x_pos"))).otherwise(stretch("y_chain", zero, F.col("y_pos")))
+        df = df.withColumn("_first", first).withColumn("ranges", F.concat("ranges", climbed)).withColumn("_up", F.when(first, F.col("x_up")).otherwise(F.col("y_up")))
+        df = df.join(of("_up", "n"), [*tree, "_up"])
+        moved = {f"{s}_{c}": F.when(F.col("_first") == (s == "x"), F.col(f"n_{c}")).otherwise(F.col(f"{s}_{c}")) for s in "xy" for c in info}
+        df = cut(df.withColumns(moved).select(*tree, "a", "b", "ranges", *[f"{s}_{c}" for s in "xy" for c in info]))
+
+
+def paths(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(tree_id, a, b, node_id): nodes from a to b through their last common ancestor, all three included."""
+    tree = _tree(nodes)
+    placed = chains(nodes)
+    steps = path_ranges(placed, pairs).select(*tree, "a", "b", F.inline("ranges")).select(*tree, "a", "b", F.col("list").alias("chain"), F.explode(F.sequence("lo", "hi")).alias("pos"))
+    return steps.join(placed.select(*tree, "chain", "pos", "node_id"), [*tree, "chain", "pos"]).select(*tree, "a", "b", "node_id")
+
+
+def path_digests(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(tree_id, a, b, n, digest): how many nodes `paths` gives, and the MD5 of their names in order; no row is made for a step."""
+    tree = _tree(nodes)
+    placed = chains(nodes)
+    members = placed.select(*tree, F.col("chain").alias("list"), "pos", F.col("node_id").alias("name"))
+    return digests(path_ranges(placed, pairs), members, tree)
 
 
 def ladderize(nodes: DataFrame, largest_first: bool = True) -> DataFrame:
@@ -275,14 +326,29 @@ def splits(nodes: DataFrame) -> DataFrame:
     return df.groupBy("tree_id", "split").agg(F.max(F.struct("node_id", "leaves")).alias("x")).select("tree_id", "x.node_id", "split", "x.leaves")
 
 
-def bipartitions(nodes: DataFrame) -> DataFrame:
-    """(tree_id, node_id, split): `splits` with the sorted names of their leaves."""
+def _sides(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((tree_id, node_id, leaves, ranges), nodes with spans): the stretches of leaf_rank that make up each split's side."""
     df = cut(spans(nodes))
     least = df.where("leaf").groupBy("tree_id").agg(F.min_by("leaf_rank", F.struct("name", "node_id")).alias("_first"), (F.max("leaf_rank") + 1).alias("_n"))
-    at = df.join(splits(nodes).select("tree_id", "node_id"), ["tree_id", "node_id"]).join(least, "tree_id")
+    at = df.join(splits(nodes).select("tree_id", "node_id", "leaves"), ["tree_id", "node_id"]).join(least, "tree_id")
     start, end = F.col("leaf_rank"), F.col("leaf_rank") + F.col("tips")
-    other = F.concat(_range(F.lit(0).cast("long"), start), _range(end, F.col("_n")))
-    return _names_at(at, df, lambda: F.when((F.col("_first") >= start) & (F.col("_first") < end), other).otherwise(_range(start, end)), "split")
+    stretch = lambda lo, hi: F.struct(F.lit(0).cast("long").alias("list"), lo.cast("long").alias("lo"), (hi - 1).cast("long").alias("hi"))
+    other = F.array(stretch(F.lit(0), start), stretch(end, F.col("_n")))
+    ranges = F.when((F.col("_first") >= start) & (F.col("_first") < end), other).otherwise(F.array(stretch(start, end)))
+    return at.select("tree_id", "node_id", "leaves", F.filter(ranges, lambda r: r["lo"] <= r["hi"]).alias("ranges")), df
+
+
+def bipartitions(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node_id, split): `splits` with the sorted names of their leaves."""
+    at, df = _sides(nodes)
+    return _names_at(at, df, lambda: F.flatten(F.transform("ranges", lambda r: F.sequence(r["lo"], r["hi"]))), "split")
+
+
+def split_digests(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node_id, leaves, digest): the MD5 of what `bipartitions` lists, with no row for a name of a side."""
+    at, df = _sides(nodes)
+    members = df.where("leaf").select("tree_id", F.lit(0).cast("long").alias("list"), F.col("leaf_rank").alias("pos"), "name")
+    return digests(at, members, ["tree_id"]).select("tree_id", "node_id", "leaves", "digest")
 
 
 def with_support(nodes: DataFrame, replicates: DataFrame, n: int) -> DataFrame:
